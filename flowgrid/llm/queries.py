@@ -14,6 +14,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowgrid.llm import secrets
+
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowgrid.llm import langid
 
@@ -23,6 +29,24 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowgrid.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowgrid.llm import quality
+
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowgrid.llm import neardup
+
+    return neardup.find(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowgrid.llm import packing
 
@@ -30,7 +54,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
+    "op4_mixing": op4_mixing,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_packing": op10_packing,
 }
 
