@@ -29,18 +29,105 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def capture_list(pages: DataFrame) -> DataFrame:
+    """Dated list events for the pages' own hosts and directories, by fixed rules over an md5.
+
+    The test tables hold no lists: this one gives a third of the hosts and of the first directories an
+    entry at some day of 2024, and takes half of those off again some days later.
+    """
+    from flowgrid.llm import urlfilter
+
+    host = urlfilter.host_of(F.col("url"))
+    first = F.regexp_extract(urlfilter.path_of(F.col("url")), "^(/[^/]+/)", 1)
+    named = pages.select(F.lit("domain").alias("kind"), host.alias("pattern")).distinct().unionByName(
+        pages.where(first != "").select(F.lit("prefix").alias("kind"), F.concat(host, first).alias("pattern")).distinct()
+    )
+    digit = lambda k, n: F.conv(F.substring(F.md5(F.concat("kind", F.lit(":"), "pattern")), k, n), 16, 10).cast("int")
+    add = named.where((F.col("pattern") != "") & (digit(1, 2) % 3 == 0)).select(
+        "kind", "pattern", F.when(digit(3, 1) < 8, "adult").otherwise("malware").alias("category"), digit(4, 2).alias("on"), digit(6, 2).alias("for")
+    )
+    start = F.date_add(F.lit("2024-01-01").cast("date"), F.col("on"))
+    added = add.select("kind", "pattern", "category", F.lit("add").alias("action"), start.alias("day"))
+    gone = add.where(F.col("for") % 2 == 0).select("kind", "pattern", "category", F.lit("remove").alias("action"), F.date_add(start, F.col("for") + 1).alias("day"))
+    return added.unionByName(gone)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages have no fetch day; page_id gives one of 2024."""
+    from flowgrid.llm import urlfilter
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int"))
+    return urlfilter.evaluate(pages.withColumn("day", day), capture_list(pages))
+
+
+OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, CAST(DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INTEGER) AS DATE) AS day,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host,
+         regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '^(.*/)', 1) AS dir
+  FROM pages),
+named AS (
+  SELECT DISTINCT 'domain' AS kind, host AS pattern FROM p
+  UNION SELECT DISTINCT 'prefix', host || regexp_extract(dir, '^(/[^/]+/)', 1) FROM p WHERE regexp_extract(dir, '^(/[^/]+/)', 1) <> ''),
+h AS (SELECT *, md5(kind || ':' || pattern) AS m FROM named WHERE pattern <> ''),
+e AS (
+  SELECT kind, pattern, CASE WHEN CAST('0x' || substr(m, 3, 1) AS INTEGER) < 8 THEN 'adult' ELSE 'malware' END AS category,
+         CAST(DATE '2024-01-01' + CAST('0x' || substr(m, 4, 2) AS INTEGER) AS DATE) AS starts, CAST('0x' || substr(m, 6, 2) AS INTEGER) AS n
+  FROM h WHERE CAST('0x' || substr(m, 1, 2) AS INTEGER) % 3 = 0),
+valid AS (SELECT kind, pattern, category, starts, CASE WHEN n % 2 = 0 THEN CAST(starts + n + 1 AS DATE) END AS ends FROM e),
+labels AS (SELECT page_id, host, dir, day, string_split(host, '.') AS l, string_split(dir, '/') AS d FROM p WHERE host <> ''),
+keys AS (
+  SELECT page_id, day, 'domain' AS kind, array_to_string(l[i:], '.') AS pattern
+  FROM (SELECT *, unnest(range(1, greatest(len(l) - 1, 1) + 1)) AS i FROM labels)
+  UNION ALL
+  SELECT page_id, day, 'prefix', host || array_to_string(d[1:i], '/') || '/'
+  FROM (SELECT *, unnest(range(1, len(d))) AS i FROM labels WHERE dir <> '')),
+hits AS (
+  SELECT k.page_id, k.kind, k.pattern, v.category,
+         row_number() OVER (PARTITION BY k.page_id ORDER BY length(k.pattern) DESC, k.kind DESC, k.pattern DESC) AS r
+  FROM keys k JOIN valid v ON k.kind = v.kind AND k.pattern = v.pattern AND v.starts <= k.day AND (v.ends IS NULL OR k.day < v.ends))
+SELECT p.page_id, p.url, p.day, x.kind IS NOT NULL AS blocked, x.category, x.kind AS list_kind, x.pattern AS list_pattern
+FROM p LEFT JOIN (SELECT * FROM hits WHERE r = 1) x ON p.page_id = x.page_id
+"""
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowgrid.llm import mixing
 
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowgrid.llm import line_dedup
+
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowgrid.llm import quality
 
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowgrid.llm import topk
+
+    return topk.search(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
+"""
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowgrid.llm import neardup
 
@@ -56,10 +143,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
+    "op3_url_filter": op3_url_filter,
     "op4_mixing": op4_mixing,
+    "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_exact_topk": op8_exact_topk,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_url_filter": OP3_SQL,
+    "op8_exact_topk": OP8_SQL,
+}
