@@ -98,6 +98,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowgrid.llm import html_extract
+
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowgrid.llm import line_dedup
 
@@ -145,6 +151,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_url_filter": op3_url_filter,
     "op4_mixing": op4_mixing,
+    "op5_main_text": op5_main_text,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_exact_topk": op8_exact_topk,
