@@ -180,7 +180,7 @@ def contains(polygon: Column, x: Column, y: Column) -> Column:
         at = a["x"] + (y - a["y"]) * (b["x"] - a["x"]) / F.when(b["y"] != a["y"], b["y"] - a["y"])
         return F.coalesce((spans & (x < at)).cast("int"), F.lit(0))
 
-    count = F.aggregate(F.flatten(F.transform(polygon, edges)), F.lit(0), lambda n, e: n + crossed(e))
+    count = F.aggregate(F.flatten(F.transform(polygon, lambda r: edges(r))), F.lit(0), lambda n, e: n + crossed(e))
     return count % 2 == 1
 
 
@@ -199,7 +199,7 @@ def line_distance(line: Column, x: Column, y: Column) -> Column:
 
 def polygon_distance(polygon: Column, x: Column, y: Column) -> Column:
     """0 inside, else the least distance to an edge."""
-    outside = F.array_min(F.transform(F.flatten(F.transform(polygon, edges)), lambda e: segment_distance(x, y, e)))
+    outside = F.array_min(F.transform(F.flatten(F.transform(polygon, lambda r: edges(r))), lambda e: segment_distance(x, y, e)))
     return F.when(contains(polygon, x, y), 0.0).otherwise(outside)
 
 

@@ -569,7 +569,7 @@ def score_report(spark, d):
 
 
 @register("normalise_field", f"""WITH {CELLS_SQL}, m AS (SELECT min(climb_min_m) AS lo, max(climb_min_m) AS hi, min(uhi_delta_c) AS ul, max(uhi_delta_c) AS uh FROM cells)
-SELECT cell, round(1 - least(1.0, greatest(0.0, (ln(1 + greatest(climb_min_m, 0)) - ln(1 + lo)) / (ln(1 + hi) - ln(1 + lo)))), 6) AS near,
+SELECT cell, round(CASE WHEN climb_min_m IS NOT NULL THEN 1 - least(1.0, greatest(0.0, (ln(1 + greatest(climb_min_m, 0)) - ln(1 + lo)) / (ln(1 + hi) - ln(1 + lo)))) END, 6) AS near,
 round(least(1.0, greatest(0.0, 0.5 + uhi_delta_c / (2 * greatest(abs(uh), abs(ul))))), 6) AS heat, CAST(motorway_within_500m AS DOUBLE) AS road FROM cells, m""")
 def normalise_field(spark, d):
     frame = cells(spark, d)
