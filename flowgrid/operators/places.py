@@ -19,7 +19,7 @@ RULES = {
     "industry": (("landuse", "industrial"),),
 }
 #: Tags of green areas, and of stations.
-GREEN = {"leisure": ("park", "garden", "nature_reserve"), "landuse": ("forest", "grass", "meadow", "recreation_ground"), "natural": ("wood", "grassland", "heath", "scrub")}
+GREEN = {"leisure": ("park", "garden", "nature_reserve"), "landuse": ("forest", "meadow", "recreation_ground"), "natural": ("wood", "grassland", "heath")}
 STATIONS = ("station", "halt", "stop")
 
 

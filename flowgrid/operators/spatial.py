@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from flowgrid.functions import geo
+from flowgrid.session import ensure_checkpoint_dir
 
 
 def _tiled(points: DataFrame, size: float) -> DataFrame:
@@ -131,13 +132,13 @@ def overlay_weights(polygons: DataFrame, cells: DataFrame, *, size: float = 20_0
     Shares are of the area that cells cover, so that they sum to 1 in a zone which cells cover at all.
     The overlaps need a polygon clip, which column expressions can't loop over: an Arrow batch function.
     """
-    import pandas as pd
+    import pyarrow as pa
 
-    def overlap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pts = lambda ring: [(p["x"], p["y"]) for p in ring]
         for b in batches:
-            shares = [clip_area([pts(r) for r in poly], pts(ring)) for poly, ring in zip(b["polygon"], b["ring"], strict=True)]
-            yield pd.DataFrame({"zone": b["zone"], "cell": b["cell"], "overlap": shares})
+            shares = [clip_area([pts(r) for r in poly], pts(ring)) for poly, ring in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shares, pa.float64())], names=["zone", "cell", "overlap"])
 
     boxed = cells.withColumn("cbox", geo.bounds(F.array("ring")))
     tiled = boxed.withColumn("tile", F.explode(_box_tiles(F.col("cbox"), size))).select("cell", "ring", "cbox", F.col("tile.tx").alias("tx"), F.col("tile.ty").alias("ty"))
@@ -146,7 +147,7 @@ def overlay_weights(polygons: DataFrame, cells: DataFrame, *, size: float = 20_0
     first = (F.floor(F.greatest("box.x0", "cbox.x0") / size) == F.col("tx")) & (F.floor(F.greatest("box.y0", "cbox.y0") / size) == F.col("ty"))
     valid = polygons.withColumn("polygon", geo.valid_rings(F.col("polygon"))).where(F.size("polygon") > 0)
     pairs = _tiled_polygons(valid, size).join(tiled, ["tx", "ty"]).where(touch & first)
-    areas = pairs.select("zone", "cell", "polygon", "ring").mapInPandas(overlap, "zone string, cell string, overlap double").where("overlap > 0")
+    areas = pairs.select("zone", "cell", "polygon", "ring").mapInArrow(overlap, "zone string, cell string, overlap double").where("overlap > 0")
     total = F.sum("overlap").over(W.partitionBy("zone"))
     return areas.select("zone", "cell", (F.col("overlap") / total).alias("weight"))
 
@@ -207,22 +208,24 @@ def cluster_points(points: DataFrame, radius: float, least: int) -> DataFrame:
     Core points have at least so many points (themselves included) within the radius; a point that isn't
     core joins the cluster of its least core neighbour.  Labels spread along core links until they rest.
     """
-    near = pairs_within(points, points, radius).select("id", "r_id").persist()
-    core = near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("id")
-    links = near.join(core, "id").join(core.withColumnRenamed("id", "r_id"), "r_id").select("id", "r_id").persist()
+    ensure_checkpoint_dir(points.sparkSession)
+    near = pairs_within(points, points, radius).select("id", "r_id").checkpoint()
+    core = near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("id").checkpoint()
+    both = near.join(core, "id").join(core.withColumnRenamed("id", "r_id"), "r_id")
+    links = both.select("id", "r_id").checkpoint()
     labels = core.withColumn("label", F.col("id"))
     while True:
-        spread = links.join(labels.withColumnsRenamed({"id": "r_id", "label": "other"}), "r_id").groupBy("id").agg(F.min("other").alias("least"))
+        spread = links.join(labels.select(F.col("id").alias("r_id"), F.col("label").alias("other")), "r_id").groupBy("id").agg(F.min("other").alias("least"))
         # A label's own label is followed as well, so that chains shorten by half each round.
         hop = labels.select(F.col("id").alias("least"), F.col("label").alias("further"))
         after = spread.join(hop, "least", "left").select("id", F.least("least", F.coalesce("further", "least")).alias("label")).checkpoint()
-        moved = after.join(labels.withColumnRenamed("label", "before"), "id").where("label <> before").limit(1).count()
+        moved = not after.join(labels.select("id", F.col("label").alias("before")), "id").where("label <> before").isEmpty()
         labels = after
         if not moved:
             break
-    border = near.join(labels, near["r_id"] == labels["id"]).groupBy(near["id"]).agg(F.min("label").alias("near_label"))
+    border = near.join(labels.select(F.col("id").alias("r_id"), F.col("label").alias("beside")), "r_id").groupBy("id").agg(F.min("beside").alias("beside"))
     out = points.select("id").join(labels, "id", "left").join(border, "id", "left")
-    return out.select("id", F.coalesce("label", "near_label").alias("cluster"))
+    return out.select("id", F.coalesce("label", "beside").alias("cluster"))
 
 
 def convex_hulls(points: DataFrame, key: str) -> DataFrame:

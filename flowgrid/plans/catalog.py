@@ -816,6 +816,11 @@ def convex_hulls(spark, d):
     return spatial.convex_hulls(at, "g")
 
 
+@register("density_clusters")
+def density_clusters(spark, d):
+    return spatial.cluster_points(points(spark, d, "customer", "c_custkey"), 9_000, 4)
+
+
 @register("knn_embeddings", """WITH q AS (SELECT * FROM embeddings WHERE vec_id < 10), p AS (SELECT q.vec_id AS id, e.vec_id AS r_id, list_distance(q.embedding, e.embedding) AS d FROM q, embeddings e WHERE q.label = e.label AND q.vec_id <> e.vec_id)
 SELECT id, r_id, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d, 4), r_id) AS n FROM p) WHERE n <= 3""")
 def knn_embeddings(spark, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +18,13 @@ SETTINGS = {
 }
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the cluster's spark.checkpoint.dir; only where none is set (one machine, tests) make a folder."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowgrid-ckpt-"))
+
+
 def get_session(name: str = "flowgrid", *, master: str | None = None, **settings: str) -> SparkSession:
     """The active session, or a new one; on a cluster the master comes from spark-submit."""
     builder = SparkSession.builder.appName(name)
