@@ -10,12 +10,13 @@
    a pair of 0.8 at the first depth with probability (1 - 0.8**2)**12 = 5e-6, and 3e-4 at the second.
    Nodes still too large at the last depth are compared exhaustively all the same, in pairs of blocks.
 3. Small nodes are compared exhaustively on sketches (one byte of every minwise token), twice.  First
-   every document meets the first earlier one that looks alike (its leader), at most one pair for each
-   document and node.  Those are verified on the full sets, and make components.  Then the nodes are
-   compared again, without pairs that are already connected; whatever looks alike (four standard errors
-   below the threshold count as alike) is verified too.  So a group of n near copies costs about n
-   pairs, and no link between different groups is lost.
-4. Verification ships the full sets of a leader and up to CHUNK partners to one place.
+   the member of a node that most others look like meets all of those, then the rest likewise: at most
+   one pair for each document and node.  These pairs are verified on the full sets (a leader and up to
+   CHUNK partners are shipped to one place), and make components.
+4. Then nodes are searched for members that look like a member of another component (four standard
+   errors below the threshold count as alike).  The full sets of these go to their nodes, where all are
+   compared exactly; only links that join components are returned.  So a group of n near copies costs
+   about n pairs and n rows a tree, and no link between different groups is lost.
 
 Nothing is collected on the driver; intermediate tables are written to the checkpoint folder.
 
@@ -158,59 +159,123 @@ def _alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     return (same - 1 / 256) / (1 - 1 / 256) >= least
 
 
-def compare(members: DataFrame, least: float, leaders_only: bool) -> DataFrame:
-    """Pairs (a, b), a < b, of node members that look alike.
+def _by_node(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one (node, block) after the other, from rows sorted by these two."""
+    kept: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if kept is None else pa.concat_tables([kept, table])
+        key = np.stack([table["node"].to_numpy(), table["block"].to_numpy().astype(np.int64)], 1)
+        cut = [0, *((key[1:] != key[:-1]).any(1).nonzero()[0] + 1)]
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            if j - i > 1:
+                yield table.slice(i, j - i)
+        kept = table.slice(cut[-1])
+    if kept is not None and kept.num_rows > 1:
+        yield kept
+
+
+def _sketches(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
 
-    leaders_only: each member with the first that it is like, in order of id.  Otherwise all pairs of
-    members in different components.
-    """
-    schema = "a long, b long"
-
-    def judge(ids: np.ndarray, comps: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        order = np.argsort(ids, kind="stable")
-        ids, comps, s = ids[order], comps[order], sketches[order]
-        if leaders_only:
-            left = np.arange(len(ids))
-            while len(left) > 1:
-                like = _alike(s[left[0]], s[left[1:]], least)
-                yield np.full(like.sum(), ids[left[0]]), ids[left[1:][like]]
-                left = left[1:][~like]
-        elif comps.min() != comps.max():
-            for k in range(len(ids) - 1):
-                at = k + 1 + (comps[k + 1 :] != comps[k]).nonzero()[0]
-                if len(at):
-                    like = at[_alike(s[k], s[at], least)]
-                    yield np.full(len(like), ids[k]), ids[like]
+
+def _keyed(members: DataFrame, *columns: str) -> DataFrame:
+    return members.repartition("node", "block").sortWithinPartitions("node", "block").select("node", "block", *columns)
+
+
+def leaders(members: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b), a < b: in each node, the member that most others look like meets all of those, then the rest go on."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pa.Table | None = None
-
-        def groups(table: pa.Table, ended: bool) -> tuple[list[tuple], pa.Table | None]:
-            key = np.stack([table["node"].to_numpy(), table["block"].to_numpy().astype(np.int64)], 1)
-            cut = [0, *((key[1:] != key[:-1]).any(1).nonzero()[0] + 1), len(key)]
-            ids, comps = table["id"].to_numpy(), table["comp"].to_numpy()
-            flat = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(key), -1)
-            done = cut if ended else cut[:-1]
-            out = [(ids[i:j], comps[i:j], flat[i:j]) for i, j in zip(done[:-1], done[1:], strict=True) if j - i > 1]
-            return out, None if ended else table.slice(cut[-2])
-
-        def pairs(table: pa.Table, ended: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal kept
-            found, kept = groups(table, ended)
-            parts = [p for g in found for p in judge(*g)]
-            if parts:
-                a, b = (np.unique(np.stack([np.concatenate(x) for x in zip(*parts, strict=True)], 1), axis=0)).T
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        for table in _by_node(batches):
+            ids, s = table["id"].to_numpy(), _sketches(table)
+            order = np.argsort(ids, kind="stable")
+            ids, s = ids[order], s[order]
+            like = np.stack([_alike(x, s, least) for x in s])
+            np.fill_diagonal(like, False)
+            a, b = [], []
+            while (degree := like.sum(1)).any():
+                head = int(degree.argmax())
+                near = like[head].nonzero()[0]
+                a.append(np.minimum(ids[head], ids[near]))
+                b.append(np.maximum(ids[head], ids[near]))
+                like[head] = like[:, head] = False
+                like[near] = like[:, near] = False
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return _keyed(members, "id", "sketch").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def unsettled(members: DataFrame, least: float) -> DataFrame:
+    """(node, block, id, comp) of the members that look like a member of another component in their node."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_node(batches):
+            comps = table["comp"].to_numpy()
+            if comps.min() == comps.max():
+                continue
+            s = _sketches(table)
+            open_ = np.zeros(len(s), bool)
+            for k in range(len(s) - 1):
+                at = k + 1 + (comps[k + 1 :] != comps[k]).nonzero()[0]
+                if len(at) and (hit := at[_alike(s[k], s[at], least)]).size:
+                    open_[k] = open_[hit] = True
+            if open_.any():
+                yield table.filter(pa.array(open_)).select(["node", "block", "id", "comp"]).combine_chunks().to_batches()[0]
+
+    return _keyed(members, "id", "comp", "sketch").mapInArrow(run, "node long, block int, id long, comp long")
+
+
+def _shipped(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """wanted (any long and int columns, id) with the full shingle set of each id's text."""
+    names = [c for c in wanted.columns if c != "id"] + ["id"]
+    texts = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
+    rows = wanted.join(texts, F.col("id") == F.col("doc_id")).select(*names, "text")
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                table = pa.Table.from_batches([batch])
-                yield from pairs(table if kept is None else pa.concat_tables([kept, table]), False)
-        if kept is not None:
-            yield from pairs(kept, True)
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                x = [shingles(t.as_py() or b"", width).tobytes() for t in part.column(len(names)).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(x, pa.binary())], names=[*names, "items"])
+
+    return rows.mapInArrow(sets, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", items binary")
+
 
-    keyed = members.repartition("node", "block").sortWithinPartitions("node", "block")
-    return keyed.select("node", "block", "id", "comp", "sketch").mapInArrow(run, schema).where("a <> b").distinct()
+def settled(open_: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components, by exhaustive comparison of the full sets in each node.
+
+    One member at a time is intersected with all others of its node; of the links found, those are
+    returned that join components not yet joined in that node.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_node(batches):
+            ids, comp = table["id"].to_numpy(), table["comp"].to_numpy().copy()
+            sets = [np.frombuffer(x, _U64) for x in table["items"].to_pylist()]
+            size = np.array([len(x) for x in sets])
+            start = np.concatenate([[0], np.cumsum(size)[:-1]])
+            values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            mark = np.zeros(len(values), np.int64)
+            a, b = [], []
+            for k in range(len(ids) - 1):
+                if (comp[k + 1 :] == comp[k]).all():
+                    continue
+                own = flat[start[k] : start[k] + size[k]]
+                mark[own] = 1
+                both = np.add.reduceat(mark[flat[start[k + 1] :]], start[k + 1 :] - start[k + 1])
+                mark[own] = 0
+                for j in k + 1 + (100 * both >= percent * (size[k] + size[k + 1 :] - both)).nonzero()[0]:
+                    if comp[j] != comp[k]:
+                        comp[comp == comp[j]] = comp[k]
+                        a.append(ids[k]), b.append(ids[j])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _keyed(_shipped(open_, docs, width), "id", "comp", "items").mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -222,16 +287,6 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     wanted = placed.select("a", "chunk", F.col("b").alias("id"), F.lit(1).alias("role")).unionByName(
         placed.select("a", "chunk", F.col("a").alias("id"), F.lit(0).alias("role")).distinct()
     )
-    texts = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
-    shipped = wanted.join(texts, F.col("id") == F.col("doc_id")).select("a", "chunk", "role", "id", "text")
-
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                x = [shingles(t.as_py() or b"", width).tobytes() for t in part.column(4).cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(x, pa.binary())], names=["a", "chunk", "role", "id", "items"])
-
     def links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, lead = None, []
         for batch in batches:
@@ -249,8 +304,8 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                             out.append((a, i))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
-    full = shipped.mapInArrow(sets, "a long, chunk int, role int, id long, items binary")
-    return full.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role").mapInArrow(links, "a long, b long").distinct()
+    full = _shipped(wanted, docs, width).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
+    return full.select("a", "chunk", "role", "id", "items").mapInArrow(links, "a long, b long").distinct()
 
 
 def find(docs: DataFrame, *, width: int = 4, percent: int = 80) -> DataFrame:
@@ -264,16 +319,15 @@ def find(docs: DataFrame, *, width: int = 4, percent: int = 80) -> DataFrame:
     classes = one.groupBy("id").agg(F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))  # repeated rows are equal
     placed = checkpointed(nodes(classes))
     error = (percent / 100 * (1 - percent / 100) / (TREES * LEVELS)) ** 0.5
-    first = compare(placed.withColumn("comp", F.col("id")), percent / 100 - 1.5 * error, True)
+    first = leaders(placed, percent / 100 - 1.5 * error)
     links = checkpointed(verified(checkpointed(first), docs, width, percent))
     known = components(links)
     labelled = placed.join(known.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select(
         "node", "block", "id", "sketch", F.coalesce("component", "id").alias("comp")
     )
-    second = checkpointed(compare(labelled, percent / 100 - 4 * error, False))
-    if not second.isEmpty():
-        more = verified(second, docs, width, percent)
-        known = components(links.unionByName(more))
+    open_ = checkpointed(unsettled(labelled, percent / 100 - 4 * error))
+    if not open_.isEmpty():
+        known = components(links.unionByName(settled(open_, docs, width, percent)))
     whole = member.join(known.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").groupBy("doc_id").agg(
         F.min(F.coalesce("component", "id")).alias("component")
     )
