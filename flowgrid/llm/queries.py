@@ -95,7 +95,28 @@ FROM p LEFT JOIN (SELECT * FROM hits WHERE r = 1) x ON p.page_id = x.page_id
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowgrid.llm import mixing
 
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("position", F.round("position", 9))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+n AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS k FROM s),
+w AS (SELECT *, k + 1 AS weight, CASE k WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS slope, source_size * 3 AS cap FROM n),
+l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+       / CAST(sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM w),
+f AS (SELECT *, first_value(CASE WHEN level * weight < cap THEN level END IGNORE NULLS) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS free FROM l),
+t AS (SELECT source, source_size, slope, coalesce(free * weight, CAST(cap AS DOUBLE)) AS target FROM f),
+p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.slope, CAST(floor(t.target) AS BIGINT) AS words,
+    CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, words // greatest(source_size, 1) AS passes, place / greatest(target, 1.0) AS c, slope / 2 AS a, 1 - slope / 2 AS b FROM p),
+r AS (SELECT *, CAST(passes * size + least(greatest(words - passes * source_size - place, 0), size) AS BIGINT) AS taken FROM q)
+SELECT doc_id, size, source_size, target, taken,
+  CASE WHEN taken > 0 THEN round(least(greatest(CASE WHEN a <> 0 THEN (sqrt(greatest(b * b + 4 * a * c, 0)) - b) / (2 * a) ELSE c END, 0), 1), 9) + 0.0 END AS position FROM r
+"""
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +134,40 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowgrid.llm import quality
 
-    return quality.judge(table(spark, sf_dir, "documents"))
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "common_distance")})
+
+
+def _op7_sql() -> str:
+    from flowgrid.llm import quality
+
+    words = r"'[^\x20\x09-\x0D]+'"
+    count = lambda chars: f"length(regexp_replace(x, '[^{chars}]+', '', 'g'))"
+    names = [*quality.CLASSES, "symbol", "space", "other"]
+    classes = ", ".join(f"{count(c)} AS {k}" for k, c in ((k, c.replace("'", "''")) for k, c in quality.CLASSES.items()))
+    part = lambda p, q: f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END)"
+    by_class = " + ".join(part(f"(m.{k} / CAST(greatest(m.n_chars, 1) AS DOUBLE))", f"(r.{k} / CAST(r.total AS DOUBLE))") for k in names)
+    common = ", ".join("'" + w + "'" for w in quality.COMMON)
+    return rf"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS x FROM documents),
+b AS (SELECT doc_id, lang, x, regexp_extract_all(x, {words}) AS w, length(x) AS n_chars, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+  {count(quality.SYMBOLS)} AS n_symbols, {classes} FROM t),
+m AS (SELECT *, n_symbols AS symbol, n_chars - word_chars AS space, word_chars - n_symbols - {' - '.join(quality.CLASSES)} AS other FROM b),
+g AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS c, w[i + 2] AS e FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM m)),
+again AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, c, e) AS n FROM g) WHERE n > 1) GROUP BY doc_id),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(x, chr(10))) AS l FROM m) WHERE regexp_matches(l, {words}) GROUP BY doc_id),
+refs AS (SELECT lang, {', '.join(f'sum({k}) AS {k}' for k in names)}, sum(n_chars) AS total FROM m WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT NULL, {', '.join(f'sum({k})' for k in names)}, sum(n_chars) FROM m HAVING count(*) > 0),
+cw AS (SELECT doc_id, lang, v, count(*) AS n FROM (SELECT doc_id, lang, unnest(regexp_extract_all(lower(x), '\p{{L}}+')) AS v FROM m) WHERE v IN ({common}) GROUP BY ALL),
+cr AS (SELECT lang, v, sum(n) / CAST(sum(sum(n)) OVER (PARTITION BY lang) AS DOUBLE) AS q FROM cw WHERE lang IS NOT NULL GROUP BY lang, v UNION ALL SELECT NULL, v, sum(n) / CAST(sum(sum(n)) OVER () AS DOUBLE) FROM cw GROUP BY v),
+cp AS (SELECT cw.doc_id, n / CAST(sum(n) OVER (PARTITION BY cw.doc_id) AS DOUBLE) AS p, sum(n) OVER (PARTITION BY cw.doc_id) AS total, q FROM cw JOIN cr ON cw.v = cr.v AND cw.lang IS NOT DISTINCT FROM cr.lang),
+cd AS (SELECT doc_id, max(total) AS total, sqrt(greatest((sum({part('p', 'q')} - q) + 1) / 2, 0)) AS far FROM cp GROUP BY doc_id),
+j AS (SELECT m.doc_id, len(m.w) AS n_words, m.word_chars, m.n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words,
+  CASE WHEN m.n_chars >= 200 THEN sqrt(greatest(({by_class}) / 2, 0)) END AS class_distance, CASE WHEN cd.total >= 20 THEN cd.far END AS common_distance
+  FROM m JOIN refs r ON m.lang IS NOT DISTINCT FROM r.lang LEFT JOIN again ON again.doc_id = m.doc_id LEFT JOIN dup ON dup.doc_id = m.doc_id LEFT JOIN cd ON cd.doc_id = m.doc_id),
+k AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(class_distance, 6) AS class_distance, round(common_distance, 6) AS common_distance,
+  NOT base_failed AND NOT (coalesce(class_distance, 0) > 0.25 OR coalesce(common_distance, 0) > 0.75) AS kept FROM k
+"""
 
 
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +194,19 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.find(table(spark, sf_dir, "documents"))
 
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * i >= 80 * (u.n + v.n - i)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT e.b, c.r FROM c JOIN e ON e.a = c.doc_id),
+m AS (SELECT doc_id, min(r) AS component_id FROM c GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = w.doc_id AS kept FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN m ON m.doc_id = w.doc_id
+"""
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowgrid.llm import packing
 
@@ -161,5 +228,8 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_url_filter": OP3_SQL,
+    "op4_mixing": OP4_SQL,
+    "op7_quality_rules": _op7_sql(),
     "op8_exact_topk": OP8_SQL,
+    "op9_near_duplicates": OP9_SQL,
 }
