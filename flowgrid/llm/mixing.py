@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from flowgrid.llm.common import n_words
+from flowgrid.llm.common import checkpointed, n_words
 
 #: Weights by the source's place among the sources in code-point order.
 WEIGHTS = (1, 2, 3)
@@ -118,20 +118,17 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     plan = plan.where("copies > 0 and size > 0").select(
         F.col("doc_id").alias("__mix_id"), F.col("size").alias("__mix_size"), F.col("source").alias("__mix_source"), "copies", "place", "source_size", "target", "slope"
     )
-    # Repeated rows: number them on both sides, so that each meets one row of the plan.
     key = ["__mix_id", "__mix_size", "__mix_source"]
-    plan = plan.withColumn("__mix_nth", F.row_number().over(W.partitionBy(*key).orderBy("place")))
+    plan = checkpointed(plan.withColumn("__mix_nth", F.row_number().over(W.partitionBy(*key).orderBy("place"))))
     marked = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("__mix_row"),
         F.col("doc_id").alias("__id"), n_words(F.col("text")).alias("__size"), F.col("source").cast("string").alias("__source"),
     )
-    marked = marked.withColumn("__nth", F.row_number().over(W.partitionBy("__id", "__size", "__source").orderBy(F.lit(0))))
-    pairs = (
-        F.col("__id").eqNullSafe(F.col("__mix_id"))
-        & (F.col("__size") == F.col("__mix_size"))
-        & F.col("__source").eqNullSafe(F.col("__mix_source"))
-        & (F.col("__nth") == F.col("__mix_nth"))
-    )
+    pairs = F.col("__id").eqNullSafe(F.col("__mix_id")) & (F.col("__size") == F.col("__mix_size")) & F.col("__source").eqNullSafe(F.col("__mix_source"))
+    if not plan.where("__mix_nth > 1").isEmpty():
+        # Repeated rows: they are numbered on both sides, so that each meets one row of the plan.
+        marked = marked.withColumn("__nth", F.row_number().over(W.partitionBy("__id", "__size", "__source").orderBy(F.lit(0))))
+        pairs = pairs & (F.col("__nth") == F.col("__mix_nth"))
     copies = marked.join(plan, pairs).withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     placed = copies.select("__mix_row", "__id", position(F.col("__copy")).alias("__at"))
     return placed.repartitionByRange("__at", "__id").sortWithinPartitions("__at", "__id").select("__mix_row.*")
