@@ -11,7 +11,7 @@ References are one row a language.  Up to MAX_LANGUAGES of them are collected an
 that they are joined by a shuffle.
 
 Cases: null text counts as empty (no words, base_failed); a document of null language is held against
-the reference of all documents; repeated rows get equal results;
+the reference of all documents by its character classes, and not judged by its words; repeated rows get equal results;
 an empty table gives no rows; columns other than doc_id, text and lang are ignored.
 """
 
@@ -154,7 +154,7 @@ def judge(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         F.when(F.col("n_chars") >= least_chars, class_distance()).alias("class_distance"),
-        F.when(F.col("n_common") >= least_common, common_distance()).alias("common_distance"),
+        F.when((F.col("n_common") >= least_common) & F.col("lang").isNotNull(), common_distance()).alias("common_distance"),
     )
     far = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | (F.coalesce("common_distance", F.lit(0.0)) > max_common_distance)
     return judged.withColumn("kept", ~F.col("base_failed") & ~far)

@@ -162,7 +162,7 @@ cr AS (SELECT lang, v, sum(n) / CAST(sum(sum(n)) OVER (PARTITION BY lang) AS DOU
 cp AS (SELECT cw.doc_id, n / CAST(sum(n) OVER (PARTITION BY cw.doc_id) AS DOUBLE) AS p, sum(n) OVER (PARTITION BY cw.doc_id) AS total, q FROM cw JOIN cr ON cw.v = cr.v AND cw.lang IS NOT DISTINCT FROM cr.lang),
 cd AS (SELECT doc_id, max(total) AS total, sqrt(greatest((sum({part('p', 'q')} - q) + 1) / 2, 0)) AS far FROM cp GROUP BY doc_id),
 j AS (SELECT m.doc_id, len(m.w) AS n_words, m.word_chars, m.n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words,
-  CASE WHEN m.n_chars >= 200 THEN sqrt(greatest(({by_class}) / 2, 0)) END AS class_distance, CASE WHEN cd.total >= 20 THEN cd.far END AS common_distance
+  CASE WHEN m.n_chars >= 200 THEN sqrt(greatest(({by_class}) / 2, 0)) END AS class_distance, CASE WHEN cd.total >= 20 AND m.lang IS NOT NULL THEN cd.far END AS common_distance
   FROM m JOIN refs r ON m.lang IS NOT DISTINCT FROM r.lang LEFT JOIN again ON again.doc_id = m.doc_id LEFT JOIN dup ON dup.doc_id = m.doc_id LEFT JOIN cd ON cd.doc_id = m.doc_id),
 k AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM j)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(class_distance, 6) AS class_distance, round(common_distance, 6) AS common_distance,
