@@ -3,7 +3,7 @@
 Fitting: a bounded sample of labelled texts (``per_language`` expected rows of each language, drawn
 by a hash of doc_id) is turned into n-gram counts where it lies; counts are summed by (language,
 bucket), so that the driver gets at most languages x buckets numbers.  The log-probability matrix
-(buckets x languages) is broadcast: ``max_languages`` bounds it, and more labels raise an error.
+(buckets x languages) is broadcast: ``max_languages`` bounds it at 64 MB, and more labels raise an error.
 Prediction is one pass without a shuffle: a text's n-gram buckets select rows of the matrix, whose
 sums are the languages' log-likelihoods; classes have equal priors.
 
@@ -66,7 +66,7 @@ class Model:
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def fit(labelled: DataFrame, *, per_language: int = 2000, max_languages: int = 256, alpha: float = 0.5) -> Model:
+def fit(labelled: DataFrame, *, per_language: int = 2000, max_languages: int = 128, alpha: float = 0.5) -> Model:
     """A model from (doc_id, text, lang), of about ``per_language`` rows of each language."""
     named = labelled.where("lang is not null and lang <> '' and doc_id is not null")
     counts = {r.lang: r.n for r in named.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
