@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 
 from flowgrid.contracts import Contract, real, text, whole
 from flowgrid.functions import display, geo
-from flowgrid.operators import flows, places, score, spatial, stats, transit
+from flowgrid.operators import combine, flows, places, score, spatial, stats, transit
+from flowgrid.sources import reach
 from flowgrid.sources.cube import CUBE_SQL, crosswalk, od_cube, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -600,6 +601,27 @@ def score_colours(spark, d):
     return frame.select("cell", display.score_colour(F.col("liveability_score")).alias("rgb"))
 
 
+@register("merge_update", f"""WITH {CELLS_SQL}, n AS (SELECT cell, balance * 2 AS balance, k % 3 AS extra FROM cells WHERE k % 2 = 0)
+SELECT c.cell, c.label, round(n.balance, 6) AS balance, n.extra FROM cells c LEFT JOIN n ON n.cell = c.cell""")
+def merge_update(spark, d):
+    old = cells(spark, d).select("cell", "label", "balance")
+    new = cells(spark, d).where("k % 2 = 0").select("cell", (F.col("balance") * 2).alias("balance"), (F.col("k") % 3).alias("extra"))
+    return rounded(combine.merge_update(old, new))
+
+
+@register("season_value", f"""WITH s AS ({SEASONAL_HOTSPOTS}) SELECT c.cell, s.weekend_ratio AS value FROM (SELECT lower(lpad(upper(to_hex(c_custkey)), 15, '0')) AS cell FROM customer) c LEFT JOIN s ON s.cell = c.cell AND s.season = 'may'""")
+def season_value(spark, d):
+    return rounded(combine.season_value(cells(spark, d), _seasonal(spark, d), "weekend_ratio", "may"))
+
+
+@register("reach_requests", """WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS station_id, 40.5 + (s_suppkey * 37 % 2400) / 1000.0::DOUBLE AS lat, 0.15 + (s_suppkey * 91 % 3200) / 1000.0::DOUBLE AS lon FROM supplier), m AS (SELECT unnest([15, 25]) AS minutes)
+SELECT station_id, CAST(minutes AS INTEGER) AS minutes, substr(sha1(printf('%s|%.6f|%.6f|%d', station_id, lat, lon, minutes)), 1, 12) AS cache_key FROM s, m""")
+def reach_requests(spark, d):
+    k = F.col("s_suppkey")
+    stations = read(spark, d, "supplier").select(k.cast("string").alias("station_id"), (40.5 + (k * 37 % 2400) / 1000.0).alias("lat"), (0.15 + (k * 91 % 3200) / 1000.0).alias("lon"))
+    return reach.requests(stations).select("station_id", "minutes", "cache_key")
+
+
 # Timetables, sources, places
 
 

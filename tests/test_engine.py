@@ -235,6 +235,33 @@ def test_paged_observations(spark, tmp_path):
     assert frame.count() == 9 and readers.observations(frame).count() == 6 and readers.observations(frame, most=4).count() == 4
 
 
+def test_reach(spark):
+    from flowgrid.sources import reach
+
+    stations = spark.createDataFrame([("a", 41.0, 2.0), ("bad", 41.0, 2.0)], "station_id string, lat double, lon double")
+    asked = reach.requests(stations)
+    cached = asked.where("station_id = 'a' and minutes = 15").select("cache_key", F.lit("{}").alias("geojson"))
+
+    def call(station, lat, lon, minutes):
+        if station == "bad":
+            raise OSError("no route")
+        return json.dumps({"minutes": minutes})
+
+    got = {(r.station_id, r.minutes): (r.source, r.geojson, r.error) for r in reach.answers(asked, cached, call).collect()}
+    assert got == {("a", 15): ("cache", "{}", None), ("a", 25): ("fresh", '{"minutes": 25}', None), ("bad", 15): ("failed", None, "no route"), ("bad", 25): ("failed", None, "no route")}
+
+
+def test_fields_and_combination(spark):
+    from flowgrid.functions.fields import FIELDS
+    from flowgrid.operators import combine
+
+    assert len(FIELDS) == 42 and FIELDS["uhi_delta_c"].pivot == 0.0 and FIELDS["night_share"].season == "night"
+    cells = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "cell string, v double")
+    feature = spark.createDataFrame([("a", 9.0)], "cell string, w double")
+    assert sorted((r.cell, r.v, r.w) for r in combine.compose(cells, [feature]).collect()) == [("a", 1.0, 9.0), ("b", 2.0, None)]
+    assert [r.value for r in combine.season_value(cells, feature, "v", None).orderBy("cell").collect()] == [1.0, 2.0]
+
+
 def test_plan_files():
     files = readers.plan_files("daily", [datetime.date(2024, 10, 15)])
     assert files[0].name == "20241015_Viajes_distritos.csv.gz" and files[0].url.endswith("/ficheros-diarios/2024-10/20241015_Viajes_distritos.csv.gz")
