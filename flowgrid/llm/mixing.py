@@ -103,7 +103,7 @@ def position(pass_number: Column) -> Column:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The op's result: what the mix takes of each document and where its first copy stands, range-sorted by that."""
     out = taken(docs, **options).withColumn("position", F.when(F.col("taken") > 0, position(F.lit(0))))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "position").repartitionByRange("position").sortWithinPartitions("position", "doc_id")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "position").repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
