@@ -29,6 +29,8 @@ from pyspark.sql.window import Window as W
 from flowgrid.llm.common import checkpointed
 
 BUCKET, BLOCK = 4096, 256
+#: Most length classes; a class of more rows than two buckets is split by a hash.
+MAX_PARTS = 2048
 COORDINATE = 0.6
 FOCUS = 3
 
@@ -117,7 +119,7 @@ def search(vectors: DataFrame, is_query, *, k: int = 5, scale: int = 256) -> Dat
     """query_id, rank, vec_id, score: each query's k best among all other rows."""
     v = checkpointed(quantized(vectors, scale))
     total = v.count()
-    n = max(1, -(-total // BUCKET))
+    n = min(MAX_PARTS, max(1, -(-total // BUCKET)))
     cuts = v.approxQuantile("norm", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
     longer = F.lit(0)  # number of cuts at or above the norm: 0 is the bucket of the longest
     if cuts:
@@ -125,12 +127,12 @@ def search(vectors: DataFrame, is_query, *, k: int = 5, scale: int = 256) -> Dat
     placed = v.withColumn("part", longer.cast("long"))
     sizes = placed.groupBy(F.col("part").alias("p"), F.col("dim").alias("d")).agg(F.count("*").alias("n"))
     split = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / (2 * BUCKET)))
-    placed = placed.join(F.broadcast(sizes), (F.col("part") == F.col("p")) & (F.col("dim") == F.col("d")))  # one row a bucket and dimension
+    placed = placed.join(sizes, (F.col("part") == F.col("p")) & (F.col("dim") == F.col("d")))  # one row a length class and dimension
     buckets = checkpointed(_blocks(placed.withColumn("bucket", F.col("part") * (1 << 32) + split), "bucket"))
     # Queries of like length share a block; so that blocks stay small, a hash splits them further.
     asked = placed.where(is_query(F.col("id"))).dropDuplicates(["id"])
     per = asked.groupBy(F.col("part").alias("qp")).agg(F.count("*").alias("qn"))
-    asked = asked.join(F.broadcast(per), F.col("part") == F.col("qp"))
+    asked = asked.join(per, F.col("part") == F.col("qp"))
     block = F.col("part") * (1 << 32) + F.pmod(F.xxhash64("id"), F.ceil(F.col("qn") / BLOCK))
     queries = checkpointed(_blocks(asked.withColumn("block", block), "block"))
     q = queries.select("block", F.col("dim").alias("q_dim"), F.col("longest").alias("q_longest"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
@@ -146,12 +148,13 @@ def search(vectors: DataFrame, is_query, *, k: int = 5, scale: int = 256) -> Dat
         F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("bound", F.lit(0)).alias("bound")))), lambda x: x["bound"]).alias("bounds")
     )
     ready = q.join(known, (F.col("block") == F.col("k_block")) & (F.col("q_dim") == F.col("k_dim")))
-    # Buckets' ids and lengths are a few numbers each; each block picks those that can reach its least bound.
-    meta = buckets.groupBy(F.col("dim").alias("m_dim")).agg(F.collect_list(F.struct("bucket", "longest")).alias("m"), F.max(F.struct("longest", "bucket")).alias("t"))
-    chosen = F.filter(
-        "m", lambda b: (b["bucket"] != F.col("t.bucket")) & ((b["longest"] * F.col("q_longest") >= F.array_min("bounds") * (1 - 1e-9)) | (F.array_min("bounds") <= 0))
-    )
-    wide = ready.join(F.broadcast(meta), F.col("q_dim") == F.col("m_dim")).withColumn("want", F.explode(chosen["bucket"]))
-    tails = wide.drop("m", "t", "m_dim").join(buckets, (F.col("want") == F.col("bucket")) & (F.col("q_dim") == F.col("dim")))
-    found = head.unionByName(_meet(tails.select(*columns), k)).distinct()
+    # Each block picks the length classes that can reach its least bound: at most MAX_PARTS for a dimension.
+    part = F.shiftright("bucket", 32)
+    classes = buckets.groupBy(F.col("dim").alias("m_dim"), part.alias("part")).agg(F.max("longest").alias("longest"))
+    meta = classes.groupBy("m_dim").agg(F.collect_list(F.struct("part", "longest")).alias("m"))
+    least = F.array_min("bounds")
+    reach = F.filter("m", lambda c: (least <= 0) | (c["longest"] * F.col("q_longest") >= least * (1 - 1e-9)))
+    wide = ready.join(meta, F.col("q_dim") == F.col("m_dim")).join(top, F.col("q_dim") == F.col("t_dim")).withColumn("want", F.explode(reach["part"]))
+    tails = wide.drop("m").join(buckets.withColumn("part", part), (F.col("want") == F.col("part")) & (F.col("q_dim") == F.col("dim"))).where("bucket <> t.bucket")
+    found = head.unionByName(_meet(tails.select(*columns), k))
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
