@@ -4,17 +4,17 @@
    size, a 128-bit digest, and minwise tokens: for each of ``TREES`` trees and ``LEVELS`` levels the
    least shingle under that level's hash.  A document's path in a tree is the sequence of its tokens.
    Documents of equal sets are one class from here on, represented by the least doc_id.
-2. Trees: all documents that share the first DEPTHS[0] tokens form a node; a node of more than
-   NODE_LIMIT documents branches by its documents' next tokens, up to the last depth.  A pair of
-   similarity s meets at depth d of a tree with probability s**d, so that TREES independent trees miss
-   a pair of 0.8 at the first depth with probability (1 - 0.8**2)**12 = 5e-6, and 3e-4 at the second.
-   Nodes still too large at the last depth are compared exhaustively all the same, in pairs of blocks.
-3. Small nodes are compared exhaustively on sketches (one byte of every minwise token), twice.  First
-   the member of a node that most others look like meets all of those, then the rest likewise: at most
+2. Trees: all documents that share the first DEPTHS[0] tokens form a node.  A pair of similarity s meets
+   in a tree with probability s**2, so that TREES independent trees miss a pair of 0.8 with probability
+   (1 - 0.8**2)**12 = 5e-6, whatever the nodes' sizes.  Deeper nodes, by which nodes of more than
+   NODE_LIMIT documents branch, only serve to find the components of step 3; step 4 takes nodes whole.
+3. Nodes are compared exhaustively on sketches (one byte of every minwise token), twice.  First, in
+   branched nodes (those still too large at the last depth are dealt out in blocks), the member of a node that most others look like meets all of those, then the rest likewise: at most
    one pair for each document and node.  These pairs are verified on the full sets (a leader and up to
    CHUNK partners are shipped to one place), and make components.
 4. Then nodes are searched for members that look like a member of another component (four standard
-   errors below the threshold count as alike).  The full sets of these go to their nodes, where all are
+   errors below the threshold count as alike).  In a node of more than NODE_LIMIT, all members outside
+   its largest component meet all members, in pairs of blocks; a node of one component has no work.  The full sets of these go to their nodes, where all are
    compared exactly; only links that join components are returned.  So a group of n near copies costs
    about n pairs and n rows a tree, and no link between different groups is lost.
 
@@ -128,29 +128,51 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     )
 
 
-def nodes(classes: DataFrame) -> DataFrame:
-    """(node, block, id, sketch): the members of every node of two or more; oversize ones at the last depth in pairs of blocks."""
+def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, block, id, sketch) for the leaders, with oversize nodes branched; and (node, n, id, sketch) of all nodes of the first depth."""
     rows = classes.select("id", "sketch", F.explode("keys").alias("path"))
-    found = []
+    found, whole = [], None
     for depth in range(len(DEPTHS)):
         key = F.get("path", F.lit(depth))
         counts = rows.groupBy(key.alias("node")).agg(F.count("*").alias("n")).where("n > 1")
         here = checkpointed(rows.join(counts, key == F.col("node")).select("id", "sketch", "path", "node", "n"))
-        found.append(here.where(f"n <= {NODE_LIMIT}").select("node", F.lit(0).alias("block"), "id", "sketch"))
+        whole = here.select("node", "n", "id", "sketch") if whole is None else whole
+        found.append(here.where(f"n <= {NODE_LIMIT}").select("node", F.lit(0).cast("long").alias("block"), "id", "sketch"))
         large = here.where(f"n > {NODE_LIMIT}")
         if large.isEmpty():
             break
         rows = large.drop("node", "n")
     else:
-        half = NODE_LIMIT // 2
-        n = F.ceil(F.col("n") / half).cast("int")
-        own = F.pmod(F.xxhash64("id"), n).cast("int")
-        pair = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.greatest(own, k) * n + F.least(own, k))
-        found.append(large.select("node", F.explode(pair).alias("block"), "id", "sketch"))
+        block = F.pmod(F.xxhash64("node", "id"), F.ceil(F.col("n") / NODE_LIMIT))
+        found.append(large.select("node", block.alias("block"), "id", "sketch"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    return out, whole
+
+
+def faced(labelled: DataFrame) -> DataFrame:
+    """(node, block, id, comp, sketch): blocks in which any two members of a node that are in different components meet.
+
+    In an oversize node the members of its largest component don't need to meet each other: their
+    blocks meet those of the other members, and these meet one another.
+    """
+    rows = labelled.select("node", "id", "comp", "sketch")
+    small = rows.where(labelled["n"] <= NODE_LIMIT).withColumn("block", F.lit(0).cast("long"))
+    large = rows.where(labelled["n"] > NODE_LIMIT)
+    sizes = large.groupBy("node", "comp").agg(F.count("*").alias("size"))
+    main = sizes.groupBy(F.col("node").alias("at")).agg(
+        F.max_by("comp", F.struct("size", "comp")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("total")
+    )
+    half = NODE_LIMIT // 2
+    a, b = F.ceil(F.col("most") / half), F.ceil((F.col("total") - F.col("most")) / half)
+    is_main = F.col("comp") == F.col("main")
+    own = F.when(is_main, F.pmod(F.xxhash64("id"), F.col("a"))).otherwise(F.col("a") + F.pmod(F.xxhash64("id"), F.col("b")))
+    met = F.sequence(F.when(is_main, F.col("a")).otherwise(F.lit(0)), F.col("a") + F.col("b") - 1)
+    pair = F.transform(met, lambda k: F.greatest("own", k) * (F.col("a") + F.col("b")) + F.least("own", k))
+    placed = large.join(main.where("most < total"), F.col("node") == F.col("at")).withColumns({"a": a, "b": b}).withColumn("own", own)
+    blocks = placed.select("node", "id", "comp", "sketch", F.explode(pair).alias("block"))
+    return small.unionByName(blocks).select("node", "block", "id", "comp", "sketch")
 
 
 def _alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -226,7 +248,7 @@ def unsettled(members: DataFrame, least: float) -> DataFrame:
             if open_.any():
                 yield table.filter(pa.array(open_)).select(["node", "block", "id", "comp"]).combine_chunks().to_batches()[0]
 
-    return _keyed(members, "id", "comp", "sketch").mapInArrow(run, "node long, block int, id long, comp long")
+    return _keyed(members, "id", "comp", "sketch").mapInArrow(run, "node long, block long, id long, comp long")
 
 
 def _shipped(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -317,21 +339,21 @@ def find(docs: DataFrame, *, width: int = 4, percent: int = 80) -> DataFrame:
     member = checkpointed(usable.join(by_class, F.col("digest") == F.col("d")).select("doc_id", "id"))
     one = usable.join(by_class, (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("id")))
     classes = one.groupBy("id").agg(F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))  # repeated rows are equal
-    placed = checkpointed(nodes(classes))
+    branched, whole = nodes(classes)
     error = (percent / 100 * (1 - percent / 100) / (TREES * LEVELS)) ** 0.5
-    first = leaders(placed, percent / 100 - 1.5 * error)
+    first = leaders(branched, percent / 100 - 1.5 * error)
     links = checkpointed(verified(checkpointed(first), docs, width, percent))
     known = components(links)
-    labelled = placed.join(known.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select(
-        "node", "block", "id", "sketch", F.coalesce("component", "id").alias("comp")
+    labelled = whole.join(known.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select(
+        "node", "n", "id", "sketch", F.coalesce("component", "id").alias("comp")
     )
-    open_ = checkpointed(unsettled(labelled, percent / 100 - 4 * error))
+    open_ = checkpointed(unsettled(faced(labelled), percent / 100 - 4 * error))
     if not open_.isEmpty():
         known = components(links.unionByName(settled(open_, docs, width, percent)))
-    whole = member.join(known.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").groupBy("doc_id").agg(
+    grouped = member.join(known.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").groupBy("doc_id").agg(
         F.min(F.coalesce("component", "id")).alias("component")
     )
-    out = signed.select("doc_id", "n_shingles").join(whole.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"), "left")
+    out = signed.select("doc_id", "n_shingles").join(grouped.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

@@ -387,6 +387,18 @@ def test_near_duplicates(spark, near, monkeypatch, limit):
     assert {r.doc_id for r in left.collect()} == {i for i in five if five[i] == i} | {None} and left.columns == frame.columns
 
 
+@pytest.mark.parametrize("limit", [1024, 64])
+def test_near_duplicates_of_large_nodes(spark, monkeypatch, limit):
+    """A group of more than NODE_LIMIT, and members whose only links are at 0.80 to 0.81: all of them are found."""
+    monkeypatch.setattr(neardup, "NODE_LIMIT", limit)
+    template = " ".join(f"t{i}" for i in range(403))  # 400 shingles
+    group = [(i, f"{template} own{i}") for i in range(1100)]
+    group += [(5000 + i, template + "".join(f" x{i}n{k}" for k in range(97))) for i in range(500)]  # 400 of 498 to any of the group, less to each other
+    group += [(9000 + i, template + "".join(f" y{i}n{k}" for k in range(105))) for i in range(20)]  # below 0.8 to all
+    got = {r.doc_id: r.component_id for r in neardup.find(spark.createDataFrame(group, "doc_id long, text string")).collect()}
+    assert {i for i, c in got.items() if c != 0} == set(range(9000, 9020)) and all(got[i] == i for i in range(9000, 9020))
+
+
 # 10
 
 
