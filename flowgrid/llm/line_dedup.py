@@ -1,17 +1,17 @@
-"""Line dedup on content-defined chunks of lines.
+"""Line dedup on pairs of neighbouring lines.
 
-A boundary follows a line where a rolling hash over the last WINDOW line hashes is divisible by
-DIVISOR, and at least MIN_LINES lines lie before it: boundaries depend on the lines alone, so that a
-passage is cut alike wherever it stands.  Chunks of two or more lines that occur more than once in
-the corpus are looked up by hash, and their bytes compared with those of the first occurrence (by
-doc_id, then line).  All occurrences but the first are removed.
+A run of two or more lines is repeated where each pair of neighbouring lines in it is, so that the
+pairs alone find every repeated run, whatever stands around it.  Pairs with a word that occur more
+than once in the corpus are looked up by hash, and their bytes compared with those of the first
+occurrence (by doc_id, then line).  All occurrences but the first are removed; a pair that shares a
+line with its first occurrence stays.
 
 Hashes are counted with partial sums; texts are shuffled twice, each time by doc_id: to cut out the
-chunks to compare, and to take the verified ones out.
+pairs to compare, and to take the verified ones out.
 
 Cases: null text stays null, documents of one line stay as they are, null doc_id isn't looked at.
 Ties: the first occurrence is the one of least doc_id, then least line.  Rows that share a doc_id
-count as one document: their equal chunks at equal places don't remove each other.  A document whose
+count as one document: their equal pairs at equal places don't remove each other.  A document whose
 lines all go is left with an empty text.  An empty table gives no rows; other columns pass through.
 """
 
@@ -26,28 +26,16 @@ from pyspark.sql import functions as F
 
 from flowgrid.llm.common import checkpointed
 
-WINDOW, DIVISOR, MIN_LINES = 2, 2, 2
 _U64 = np.uint64
-_FACTOR = _U64(0x9E3779B97F4A7C15)
 
 
 def chunk_bounds(hashes: np.ndarray) -> list[tuple[int, int]]:
-    """(first, last + 1) of all chunks of a text's lines, from its line hashes."""
-    rolling = np.zeros(len(hashes), _U64)
-    for k in range(WINDOW):
-        rolling[k:] = (rolling[k:] ^ hashes[: len(hashes) - k]) * _FACTOR
-        rolling ^= rolling >> _U64(31)
-    cut = (rolling % _U64(DIVISOR) == 0).tolist()
-    out, first = [], 0
-    for i, here in enumerate(cut):
-        if here and i + 1 - first >= MIN_LINES:
-            out.append((first, i + 1))
-            first = i + 1
-    return [*out, (first, len(cut))] if first < len(cut) else out
+    """(first, last + 1) of all pairs of neighbouring lines of a text, from its line hashes."""
+    return [(k, k + 2) for k in range(len(hashes) - 1)]
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, last, hash) of every chunk of two or more lines with a word."""
+    """(doc_id, first, hash) of every pair of neighbouring lines with a word."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -59,27 +47,29 @@ def chunks(docs: DataFrame) -> DataFrame:
                 if len(lines) < 2:
                     continue
                 hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), _U64, len(lines))
+                raw, worded = hashes.tobytes(), [bool(x.strip()) for x in lines]
                 for a, b in chunk_bounds(hashes):
-                    if b - a > 1 and any(x.strip() for x in lines[a:b]):
-                        rows.append((doc, a, b - 1, xxhash.xxh3_128_digest(hashes[a:b].tobytes())))
-            cols = zip(*rows, strict=True) if rows else [[]] * 4
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "first", "last", "hash"])
+                    if any(worded[a:b]):
+                        rows.append((doc, a, xxhash.xxh3_128_digest(raw[8 * a : 8 * b])))
+            cols = zip(*rows, strict=True) if rows else [[]] * 3
+            types = (pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "first", "hash"])
 
     read = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("doc_id is not null and text is not null")
-    return read.mapInArrow(run, "doc_id long, first int, last int, hash binary")
+    return read.mapInArrow(run, "doc_id long, first int, hash binary")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, last) of the chunks to remove: byte for byte an earlier chunk."""
+    """(doc_id, first) of the pairs to remove: byte for byte an earlier pair."""
     every = checkpointed(chunks(docs))
-    place = F.struct("doc_id", "first", "last")
+    place = F.struct("doc_id", "first")
     heads = every.groupBy(F.col("hash").alias("h")).agg(F.count("*").alias("n"), F.min(place).alias("head")).where("n > 1")
-    marked = every.join(heads, F.col("hash") == F.col("h")).select("hash", place.alias("at"), (place == F.col("head")).alias("is_head"))
+    own = (F.col("doc_id") == F.col("head.doc_id")) & (F.col("first") == F.col("head.first") + 1)  # shares a line with the first occurrence
+    marked = every.join(heads, F.col("hash") == F.col("h")).where(~own).select("hash", place.alias("at"), (place == F.col("head")).alias("is_head"))
     per_doc = marked.distinct().groupBy(F.col("at.doc_id").alias("id")).agg(F.collect_list(F.struct("hash", "at", "is_head")).alias("wanted"))
     texts = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     lines = texts.join(per_doc, F.col("doc_id") == F.col("id")).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    body = F.array_join(F.slice("lines", F.col("w.at.first") + 1, F.col("w.at.last") - F.col("w.at.first") + 1), "\n")
+    body = F.array_join(F.slice("lines", F.col("w.at.first") + 1, 2), "\n")
     cut = checkpointed(lines.select("w.hash", "w.at", "w.is_head", body.alias("body")))
     head = cut.where("is_head").select(F.col("hash").alias("h"), F.col("body").alias("head_body")).distinct()
     same = cut.where(~F.col("is_head")).join(head, (F.col("hash") == F.col("h")) & (F.col("body") == F.col("head_body")))
@@ -89,14 +79,16 @@ def repeated(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with their texts shortened, and n_lines and n_removed (lines before, lines taken out)."""
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = repeated(docs).groupBy(F.col("doc_id").alias("__gone_id")).agg(F.collect_list(F.struct("first", "last")).alias("__gone"))
+    pair = F.array(F.col("first"), F.col("first") + 1)
+    gone = repeated(docs).groupBy(F.col("doc_id").alias("__gone_id")).agg(F.flatten(F.collect_list(pair)).alias("__gone"))
     both = docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left")
     lines = F.split("text", "\n")
-    out_of = lambda _, i: ~F.exists("__gone", lambda g: (g["first"] <= i) & (i <= g["last"]))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, out_of), "\n"))
-    removed = F.aggregate("__gone", F.lit(0), lambda s, g: s + g["last"] - g["first"] + 1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    left = F.get(F.transform(F.array(lines), lambda x: F.transform(stay, lambda i: F.get(x, i))), F.lit(0))  # the lines are made once
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    removed = F.size(lines) - F.size(stay)
     return both.select(
         *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in kept],
         F.when(F.col("text").isNotNull(), F.length("text") - F.length(F.translate("text", "\n", "")) + 1).otherwise(0).alias("n_lines"),
-        F.coalesce(removed, F.lit(0)).alias("n_removed"),
+        F.when(F.col("__gone").isNotNull() & F.col("text").isNotNull(), removed).otherwise(0).alias("n_removed"),
     )

@@ -261,6 +261,23 @@ def test_line_dedup(spark, docs, rows):
     assert all(a in line_dedup.chunk_bounds(np.arange(9, dtype=np.uint64)) for a in line_dedup.chunk_bounds(np.arange(9, dtype=np.uint64)))
 
 
+def test_short_repeated_passages(spark):
+    rng = random.Random(6)
+    fresh = lambda n: [prose(rng, 12) for _ in range(n)]
+    data, want = [], {}
+    for n in range(2, 7):
+        for _ in range(12):
+            passage = fresh(n)
+            for k in range(3):
+                before, after = fresh(rng.randint(0, 3)), fresh(rng.randint(0, 3))
+                data.append((len(data), "\n".join([*before, *passage, *after])))
+                want[len(data) - 1] = ("\n".join([*before, *(passage if k == 0 else []), *after]), n if k else 0)
+    data += [(1000, "same\nsame\nsame"), (1001, "two\ntwo\ntwo\ntwo")]
+    want |= {1000: ("same\nsame\nsame", 0), 1001: ("two\ntwo", 2)}
+    got = line_dedup.dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.text, r.n_removed) for r in got} == want
+
+
 # 7
 
 
