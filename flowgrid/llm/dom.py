@@ -125,13 +125,19 @@ def blocks(node: Node, skip=lambda n: False) -> list[str]:
 
 
 class Slot:
-    """A run of like siblings in a page's skeleton: shape, the run's nodes, and the first one's slots."""
+    """A run of like siblings in a page's skeleton: shape, the run's nodes, and slots of what all of them hold."""
 
     __slots__ = ("label", "shape", "nodes", "slots", "marked", "index")
 
     def __init__(self, label, shape, nodes, slots, marked):
         self.label, self.shape, self.nodes, self.slots, self.marked, self.index = label, shape, nodes, slots, marked, -1
 
+    def take(self, other: Slot) -> None:
+        """Add the nodes of a slot of the same shape, at all levels."""
+        self.nodes.extend(other.nodes)
+        for mine, theirs in zip(self.slots, other.slots, strict=True):
+            mine.take(theirs)
+
     def text(self) -> str:
         """What the run's nodes hold themselves, without block elements of their own."""
         return "\n".join(" ".join("".join(_own(n)).split()) for n in self.nodes)
@@ -167,7 +173,7 @@ def skeleton(root: Node) -> Slot:
                     found = make(child, depth + 1).slots  # blocks inside an inline element
                 for s in found:
                     if slots and slots[-1].shape == s.shape:
-                        slots[-1].nodes.extend(s.nodes)
+                        slots[-1].take(s)
                     else:
                         slots.append(s)
         return Slot(node.label, f"{node.label}({','.join(s.shape for s in slots)})", [node], slots, node.marked)

@@ -5,11 +5,11 @@
    host's reference by simple tree matching.  A matched slot counts whether its text equals the
    reference's, and how long it is; counts are summed by (host, slot).
 3. A host's wrapper: slots that nearly always read the same are template; the content region is the
-   deepest container that holds most of the varying text, not counting boilerplate elements (menus,
+   deepest container that holds all of the varying text, not counting boilerplate elements (menus,
    footers, forms ...), and no deeper than an article or main element.
-4. Each page is aligned again; the node matched by the content region gives the text, without
-   boilerplate elements and template slots.  A page without such a node, and hosts with too little
-   evidence, use the page's article or main element, or else its container with the most text.
+4. Each page is aligned again; the nodes matched by the content region give the text, without
+   boilerplate elements and template slots.  A page without such nodes, and hosts with too little
+   evidence, use the page's article and main elements, or else the deepest container of all its text.
 
 Wrappers are one reference page and its counts for each host.  If they are within BROADCAST_BYTES they
 are broadcast, else they are joined to the pages by host.
@@ -35,8 +35,22 @@ from flowgrid.llm.urlfilter import host_of
 BROADCAST_BYTES = 16 << 20
 #: Pages that must have voted on a slot before it can be template, and the share that must agree.
 LEAST_VOTES, CONSTANT = 8, 0.95
-#: Share of the varying text that the content region must hold.
-REGION = 0.8
+
+
+def _lowest(slots: list[dom.Slot], chars: dict[int, int]) -> dom.Slot | None:
+    """The deepest container of all unmarked slots with characters, no deeper than an article or main element."""
+    weight = [0] * len(slots)
+    for s in reversed(slots):  # children before parents
+        weight[s.index] = 0 if s.marked else chars.get(s.index, 0) + sum(weight[c.index] for c in s.slots)
+    if not weight[0]:
+        return None
+    at = slots[0]
+    while at.nodes[0].tag not in ("article", "main"):
+        inner = [c for c in at.slots if c.slots and weight[c.index] == weight[at.index]]
+        if not inner:
+            break
+        at = inner[0]
+    return at
 
 
 class Wrapper:
@@ -51,18 +65,8 @@ class Wrapper:
         self.region = self._region({k: chars for k, (_, _, chars) in votes.items() if k not in self.template})
 
     def _region(self, varying: dict[int, int]) -> int | None:
-        weight = [0] * len(self.slots)
-        for s in reversed(self.slots):  # children before parents
-            weight[s.index] = 0 if s.marked else varying.get(s.index, 0) + sum(weight[c.index] for c in s.slots)
-        if not weight[0]:
-            return None
-        at = self.root
-        while at.nodes[0].tag not in ("article", "main"):
-            inner = [c for c in at.slots if c.slots and weight[c.index] >= REGION * weight[at.index]]
-            if not inner:
-                break
-            at = inner[0]
-        return at.index if at.index else None
+        at = _lowest(self.slots, varying)
+        return None if at is None else at.index
 
     def align(self, page: dom.Slot) -> list[tuple[int, int]]:
         """(reference slot, page slot) pairs; pages of one shape share them."""
@@ -74,22 +78,20 @@ class Wrapper:
         return found
 
 
-def _densest(slots: list[dom.Slot]) -> dom.Node:
-    """Without a wrapper: article or main, else the container with the most text of its own blocks."""
-    for s in slots:
-        if s.nodes[0].tag in ("article", "main") and not s.marked:
-            return s.nodes[0]
-    best, most = slots[0].nodes[0], -1
-    todo = [slots[0]]
+def _without_wrapper(slots: list[dom.Slot]) -> list[dom.Node]:
+    """All outermost article and main elements, else the nodes of the deepest container of all text."""
+    found, todo = [], [slots[0]]
     while todo:
         s = todo.pop()
         if s.marked:
             continue
-        chars = sum(len(c.text()) for c in s.slots if not c.marked) + len(s.text())
-        if chars > most:
-            best, most = s.nodes[0], chars
-        todo.extend(reversed(s.slots))
-    return best
+        if s.nodes[0].tag in ("article", "main"):
+            found.extend(s.nodes)
+        else:
+            todo.extend(reversed(s.slots))
+    if found:
+        return found
+    return (_lowest(slots, {s.index: len(s.text().strip()) for s in slots}) or slots[0]).nodes
 
 
 def main_text(html: str, wrapper: Wrapper | None) -> str:
@@ -98,16 +100,14 @@ def main_text(html: str, wrapper: Wrapper | None) -> str:
     page = dom.skeleton(dom.parse(html))
     slots = dom.numbered(page)
     pairs = dict(wrapper.align(page)) if wrapper and wrapper.region is not None else {}
-    node, drop = None, set()
-    if pairs and wrapper.region in pairs:
-        own = slots[pairs[wrapper.region]]
-        node = own.nodes[0]
+    nodes, drop = [], set()
+    if pairs and wrapper.region in pairs and not slots[pairs[wrapper.region]].marked:
+        nodes = slots[pairs[wrapper.region]].nodes
         for ref in wrapper.template:
             if ref in pairs and not slots[pairs[ref]].slots and slots[pairs[ref]].text() == wrapper.texts[ref]:
                 drop.update(map(id, slots[pairs[ref]].nodes))
-        if node.marked:
-            node = None
-    return "\n\n".join(dom.blocks(node or _densest(slots), (lambda n: id(n) in drop) if drop else (lambda n: False)))
+    skip = (lambda n: id(n) in drop) if drop else (lambda n: False)
+    return "\n\n".join(b for n in nodes or _without_wrapper(slots) for b in dom.blocks(n, skip))
 
 
 def _references(pages: DataFrame) -> DataFrame:

@@ -210,6 +210,24 @@ def test_html(spark):
     assert text[90] == text[91] == "" and text[92] == "cut off" and text[93] == "plain\n\ntext <b>" and text[94] == "deep"
 
 
+def test_html_of_several_sections(spark):
+    """Pages of divs alone with equal sections, a title beside the body, and article siblings: nothing is left out."""
+    secs = '<div class=head>Same</div><div class=post><div class=sec><p>A{n}</p></div><div class=sec><p>B{n} told</p></div></div>'
+    constant = "<div class=post><div class=sec><p>Always</p></div><div class=sec><p>B{n}</p></div></div><div class=by><p>By {n}</p></div>"
+    body = "<div class=post><h1>Title {n}</h1><div class=body>" + "<p>Long text {n} goes on and on and on, and further on.</p>" * 5 + "</div></div>"
+    articles = "<article><p>one {n}</p></article><article><p>two {n}</p></article><article><h2>three</h2><p>{n}</p></article>"
+    kinds = [secs, constant, body, articles]
+    want = [
+        "A{n}\n\nB{n} told", "Always\n\nB{n}\n\nBy {n}", "Title {n}" + "\n\nLong text {n} goes on and on and on, and further on." * 5, "one {n}\n\ntwo {n}\n\n{n}",
+    ]
+    data = [(100 * k + i, f"http://h{k}.example.com/{i}", f"<html><body>{x.format(n=i)}</body></html>") for k, x in enumerate(kinds) for i in range(12)]
+    data += [(1000 + k, f"http://single{k}.example.com/", f"<html><body>{x.format(n=7)}</body></html>") for k, x in enumerate(kinds)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    for k, x in enumerate(want):
+        assert [got[100 * k + i] for i in range(12)] == [x.format(n=i) for i in range(12)]
+    assert [got[1000 + k] for k in range(4)] == ["Same\n\nA7\n\nB7 told", want[1].format(n=7), want[2].format(n=7), "one 7\n\ntwo 7\n\nthree\n\n7"]
+
+
 def test_wrappers_joined_by_host(spark, monkeypatch):
     data = [(i, f"http://b.example.com/{i}", DIVS.format(n=i)) for i in range(10)]
     frame = spark.createDataFrame(data, "page_id long, url string, html string")
