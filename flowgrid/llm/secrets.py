@@ -4,9 +4,10 @@ Base kinds (assignments, access ids, long hex runs) are regular expressions; a t
 pattern's matches, so that the lengths of pieces and matches add up to positions in code points.
 On top, runs of token characters are scanned with a sliding window: the window's character counts
 are carried along (one character comes in, one goes out) with the sum of c*log2(c), which gives the
-window's Shannon entropy in bits.  Each character class (hex, mixed) has its window and threshold.
-A run reports the stretch of its windows that reach the threshold, unless an allow-list pattern
-matches the run or a base span lies in it.
+window's Shannon entropy in bits.  Each character class (hex, mixed) has its window and threshold; a
+run shorter than the window is one window, with the threshold scaled by the logarithm of its length.
+What an allow-list pattern or a base span covers is cut out of a run, and each rest that is long
+enough is a run of its own, which reports the stretch of its windows that reach the threshold.
 
 Every row is worked on by itself: no shuffle, no broadcast, no Python.
 
@@ -16,6 +17,8 @@ passed through; an empty table gives no rows; columns other than doc_id and text
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,20 +72,23 @@ def dense_stretch(word: Column, window: int, least: float) -> Column:
     )
 
     def run(codes: Column) -> Column:
+        width = F.least(F.lit(window), F.size(codes))
+        bits = F.when(width < window, least * F.log2(width.cast("double")) / math.log2(window)).otherwise(least)
+
         def step(acc: Column, i: Column) -> Column:
             come = F.get(codes, i)
-            gone = F.coalesce(F.get(codes, i - window), F.lit(-1))  # -1: the window isn't full yet
+            gone = F.coalesce(F.get(codes, i - width), F.lit(-1))  # -1: the window isn't full yet
             c_in, c_out = F.get(acc["counts"], come), F.get(acc["counts"], gone)
             counts = F.transform(acc["counts"], lambda c, k: c + (k == come).cast("int") - (k == gone).cast("int"))
             total = F.when(
                 come != gone,
                 acc["sum"] + plogp(c_in + 1) - plogp(c_in) + F.when(gone >= 0, plogp(c_out - 1) - plogp(c_out)).otherwise(0.0),
             ).otherwise(acc["sum"])
-            dense = (i >= window - 1) & (F.log2(F.lit(float(window))) - total / window >= least)
+            dense = (i >= width - 1) & (F.log2(width.cast("double")) - total / width >= bits)
             return F.struct(
                 counts.alias("counts"),
                 total.alias("sum"),
-                F.when(dense & (acc["lo"] < 0), i - window + 1).otherwise(acc["lo"]).alias("lo"),
+                F.when(dense & (acc["lo"] < 0), i - width + 1).otherwise(acc["lo"]).alias("lo"),
                 F.when(dense, i + 1).otherwise(acc["hi"]).alias("hi"),
             )
 
@@ -93,13 +99,39 @@ def dense_stretch(word: Column, window: int, least: float) -> Column:
     return F.get(F.transform(F.array(codes), run), F.lit(0))  # the codes are made once
 
 
-def entropy_spans(text: Column, base: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
-    """Spans of dense stretches in candidate strings that no allow-list pattern and no base span touches."""
-    free = F.filter(
-        located(text, CANDIDATE, KINDS.index("entropy")),
-        lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
-        & ~F.coalesce(*[F.when(x["word"].rlike(p), True) for p in allowed], F.lit(False)),
+def masked(text: Column, spans: Column) -> Column:
+    """text with the stretches of its spans blanked out."""
+
+    def step(acc: Column, s: Column) -> Column:
+        before = text.substr(acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["pos"], s["start"]), F.lit(0)))
+        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.array_append(acc["parts"], F.concat(before, blank)).alias("parts"))
+
+    start = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<string>)").alias("parts"))
+    rest = lambda a: F.concat(F.array_join(a["parts"], ""), text.substr(a["pos"] + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), start, step, rest)).otherwise(text)
+
+
+def runs(text: Column) -> Column:
+    """Spans of candidate strings."""
+    return F.get(F.transform(F.array(text), lambda t: located(t, CANDIDATE, KINDS.index("entropy"))), F.lit(0))  # the text is made once
+
+
+def _rests(x: Column, pattern: str) -> Column:
+    """The candidates left of a candidate's span where a pattern's matches are cut out."""
+    moved = lambda y: F.struct(
+        (x["start"] + y["start"]).alias("start"), y["rank"].alias("rank"), (x["start"] + y["end"]).alias("end"), y["word"].alias("word")
     )
+    return F.transform(runs(masked(x["word"], located(x["word"], pattern, 0))), moved)
+
+
+def entropy_spans(text: Column, base: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
+    """Spans of dense stretches in candidate strings, outside of what allow-list patterns and base spans cover."""
+    free = runs(masked(text, base))
+    cut = lambda p: lambda x: F.when(x["word"].rlike(p), _rests(x, p)).otherwise(F.array(x))
+    for pattern in allowed:
+        free = F.flatten(F.transform(free, cut(pattern)))
+    free = F.filter(free, lambda x: ~F.coalesce(*[F.when(x["word"].rlike(p), True) for p in allowed], F.lit(False)))
 
     def judged(x: Column) -> Column:
         by_class = [F.when(x["word"].rlike(m), dense_stretch(x["word"], w, h)) for _, m, w, h in CLASSES]

@@ -103,6 +103,22 @@ def test_secrets(spark):
     assert (found.lo, found.hi) == (dense[0], dense[-1] + 24)
 
 
+def test_short_and_joined_secrets(spark):
+    key = "Zx9Kq2Lm8Vb4Nn7Wp3Rt6Yc"  # 23 different characters
+    cases = [(f"é {key[:n]} end", f"entropy:2:{2 + n}") for n in range(20, 24)]
+    cases += [(f"zzzzzzzzzzzzzzzzzzz{n} is none", "") for n in (1, 22)]
+    cases += [
+        (f"at /docs/example/{key} end", f"entropy:16:{17 + len(key)}"),
+        (f"0123456789abcdef_{key} end", f"hex:0:16,entropy:16:{17 + len(key)}"),
+        (f"{key}_0123456789abcdef-{key}", f"entropy:0:{len(key) + 1},hex:24:40,entropy:40:{41 + len(key)}"),
+        (f"example/{key[:9]}", ""),
+        ("x" * 40 + " example-changeme-dummy-1", ""),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan(frame).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
 # 2
 
 
