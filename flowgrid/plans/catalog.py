@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -858,6 +858,47 @@ def knn_embeddings(spark, d):
     return pairs.withColumn("rank", rank).where("rank <= 3").select("id", "r_id", "rank")
 
 
+@register("knn_embeddings_by_20", """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL), p AS (SELECT q.vec_id AS id, e.vec_id AS r_id, list_distance(q.v, e.v) AS d FROM v q JOIN v e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)
+SELECT id, r_id, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d, 4), r_id) AS n FROM p) WHERE n <= 3""")
+def knn_embeddings_by_20(spark, d):
+    """The three nearest vectors of the same label, for every vector whose id is divisible by 20, in blocks against all vectors."""
+    return nearest_of_label(read(spark, d, "embeddings"), F.col("vec_id") % 20 == 0, 3)
+
+
+def nearest_of_label(vectors: DataFrame, wanted: Column, k: int, query_rows: int = 512, rows: int = 4096) -> DataFrame:
+    """(id, r_id, rank) of the k nearest by distance to 4 decimals, then id; blocks of queries meet blocks of all vectors of their label."""
+    from pyspark.sql.window import Window as W
+
+    e = vectors.where("embedding is not null and label is not null and vec_id is not null").select("vec_id", "label", "embedding", wanted.alias("asks"))
+    sizes = e.groupBy(F.col("label").alias("l")).agg(F.count("*").alias("n"), F.sum(F.col("asks").cast("long")).alias("m")).where("m > 0")
+    sizes = sizes.select("l", F.ceil(F.col("m") / query_rows).alias("m"), F.ceil(F.col("n") / rows).alias("n"))
+    placed = e.join(sizes, F.col("label") == F.col("l"))
+    own = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1))
+    asking = placed.where("asks").select("label", own("m").alias("q"), every("n").alias("b"), F.lit(True).alias("asks"), "vec_id", "embedding")
+    facing = placed.select("label", every("m").alias("q"), own("n").alias("b"), F.lit(False).alias("asks"), "vec_id", "embedding")
+
+    def nearest(block):
+        import numpy as np
+        import pandas as pd
+
+        q, e = block[block["asks"]], block[~block["asks"]]
+        ids, found = e["vec_id"].to_numpy(), []
+        v = np.array(e["embedding"].tolist(), np.float64).reshape(len(e), -1)
+        for i, x in zip(q["vec_id"], q["embedding"], strict=True):
+            other = ids != i
+            if not other.any():
+                continue
+            far = np.sqrt(((v[other] - np.asarray(x, np.float64)) ** 2).sum(1))
+            at = far <= np.partition(far, min(k, len(far)) - 1)[min(k, len(far)) - 1] + 1e-3  # and what may be equal to 4 decimals
+            found.append(pd.DataFrame({"id": i, "r_id": ids[other][at], "d": far[at]}))
+        return pd.concat(found) if found else pd.DataFrame({"id": [], "r_id": [], "d": []})
+
+    pairs = asking.unionByName(facing).groupBy("label", "q", "b").applyInPandas(nearest, "id long, r_id long, d double")
+    rank = F.row_number().over(W.partitionBy("id").orderBy(F.round("d", 4), "r_id"))
+    return pairs.withColumn("rank", rank).where(f"rank <= {k}").select("id", "r_id", "rank")
+
+
 @register("event_windows", "SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, d):
     from flowgrid.streaming.rollup import windowed_totals

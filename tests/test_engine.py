@@ -374,3 +374,12 @@ def test_streaming_totals(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("totals").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_nearest_in_blocks(spark):
+    """Every id divisible by 20 is asked for, and small blocks give what one block gives."""
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    got = catalog.QUERIES["knn_embeddings_by_20"](spark, SF)
+    assert {r.id for r in got.select("id").distinct().collect()} == {r.vec_id for r in e.where("vec_id % 20 = 0").collect()}
+    small = catalog.nearest_of_label(e, F.col("vec_id") % 20 == 0, 3, query_rows=2, rows=7)
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, got.collect()))
