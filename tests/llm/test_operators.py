@@ -260,6 +260,79 @@ def test_tree_matching_is_largest():
     assert sorted(matched) == [("", ""), ("div", "div"), ("h1", "h1"), ("p", "p")]
 
 
+def exhaustive(x, y):
+    """Size of a largest order- and level-keeping match, by trying all subsets of children in order."""
+    if x.label != y.label:
+        return 0
+
+    def best(p, q):
+        if not p or not q:
+            return 0
+        return max(best(p[1:], q), *[exhaustive(p[0], q[j]) + best(p[1:], q[j + 1 :]) for j in range(len(q))])
+
+    return 1 + best(x.slots, y.slots)
+
+
+def test_tree_matching_equals_exhaustive():
+    rng = random.Random(12)
+
+    def tree(depth):
+        return "".join(f"<div class={rng.choice('abc')}>{tree(depth - 1) if depth else ''}</div>" for _ in range(rng.randint(0, 3)))
+
+    for _ in range(150):
+        a, b = (dom.skeleton(dom.parse(tree(2))) for _ in range(2))
+        x, y = dom.numbered(a), dom.numbered(b)
+        pairs = dom.simple_tree_matching(a, b)
+        assert len(pairs) == exhaustive(a, b)
+        up = [{c.index: s.index for s in side for c in s.slots} for side in (x, y)]
+        for i, j in pairs:  # equal labels, matched parents, order kept
+            assert x[i].label == y[j].label and ((i, j) == (0, 0) or (up[0][i], up[1][j]) in pairs)
+        assert sorted(pairs) == sorted(pairs, key=lambda p: p[1])
+
+
+def test_html_story_without_semantic_elements(spark):
+    """With article renamed to div, the texts of whole pages stay as they were."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    renamed = pages.withColumn("html", F.regexp_replace("html", "(</?)article", "$1div"))
+    want, got = ({r.page_id: r.text for r in html_extract.extract(x).collect()} for x in (pages, renamed))
+    assert got == want and all(want.values())
+
+
+def test_html_wrapper_decides(spark):
+    """Constant boxes go only where induction finds them, in articles too; a lone page keeps them."""
+    inside = "<article><h1>Title {n}</h1><div class=box><p>Read our house rules</p></div><p>Text {n} of the story.</p></article><div class=foot><p>More stories</p></div>"
+    beside = "<div class=x1><p>The daily house</p></div><div class=x2><h1>Title {n}</h1><p>Text {n} of the story.</p></div><div class=x3><p>All rights</p></div>"
+    named = "<div class=widget><h1>Title {n}</h1><p>Text {n} of the story.</p></div><div class=x3><p>All rights</p></div>"
+    kinds, data = [inside, beside, named], []
+    for k, x in enumerate(kinds):
+        data += [(100 * k + i, f"http://h{k}.example.com/{i}", x.format(n=i)) for i in range(30)]
+        data += [(1000 + k, f"http://one{k}.example.com/", x.format(n=7))]
+    mixed = "<section class=list><ul><li>First {n}</li><li>Second {n}</li></ul></section>"
+    data += [(2000 + i, f"http://h0.example.com/list/{i}", mixed.format(n=i)) for i in range(30)]  # a second kind of page
+    data += [(3000 + i, "http://copies.example.com/", "<article><h1>Same</h1><p>Always the same.</p></article>") for i in range(30)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    for k in range(3):
+        assert [got[100 * k + i] for i in range(30)] == [f"Title {i}\n\nText {i} of the story." for i in range(30)], k
+    assert got[1000] == "Title 7\n\nRead our house rules\n\nText 7 of the story."
+    assert got[1001] == "The daily house\n\nTitle 7\n\nText 7 of the story.\n\nAll rights" and got[1002] == "All rights"
+    assert [got[2000 + i] for i in range(30)] == [f"First {i}\n\nSecond {i}" for i in range(30)]
+    assert {got[3000 + i] for i in range(30)} == {"Same\n\nAlways the same."}
+
+
+def test_html_marks():
+    text = lambda x: html_extract.main_text(x, {})
+    assert text("<body><header><p>Site</p></header><div><p>a</p><p>b</p></div></body>") == "a\n\nb"
+    assert text("<article><header><h1>Title</h1></header><p>a</p><footer>f</footer></article>") == "Title\n\na"
+    assert text("<html><title>stray</title><body><p>a</p></body></html>") == "a"
+    assert text("<article><p>1</p></article><div>x</div><article><h2>2</h2><ul><li>3</ul></article>") == "1\n\n2\n\n3"
+    assert text("<div><p>intro</p><div><p>one</p><p>two</p></div><p>outro</p></div>") == "intro\n\none\n\ntwo\n\noutro"
+    assert text('<main><div class="crumbs">a &gt; b</div><p class="notice-of-death">N</p><section id="share-prices"><p>S</p></section></main>') == "N\n\nS"
+    assert text('<main><div class="Cookie-Notice x">c</div><div id="comment-list2">d</div><div class="post-comments">e</div><p class="commentary">f</p></main>') == "f"
+    long = "word " * 200_000
+    assert text(f"<article><p>{long}</p></article>") == long.strip()
+    assert text("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
+
+
 # 6
 
 
