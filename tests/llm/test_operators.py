@@ -337,22 +337,18 @@ def test_html_marks():
 
 
 def plain_dedup(rows):
-    import xxhash
-
     where = defaultdict(list)
     for i, text, *_ in rows:
-        if i is None or text is None:
-            continue
-        lines = text.split("\n")
-        h = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in lines], np.uint64)
-        for a, b in line_dedup.chunk_bounds(h) if len(lines) > 1 else []:
-            if b - a > 1 and any(x.strip() for x in lines[a:b]):
-                where["\n".join(lines[a:b])].append((i, a, b))
+        lines = text.split("\n") if i is not None and text is not None else []
+        for k in range(len(lines) - 1):
+            if lines[k].strip() or lines[k + 1].strip():
+                where[lines[k], lines[k + 1]].append((i, k))
     gone = defaultdict(set)
     for places in where.values():
-        for i, a, b in places:
-            if (i, a, b) != min(places):
-                gone[i] |= set(range(a, b))
+        first = min(places)
+        for i, k in places:
+            if (i, k) not in (first, (first[0], first[1] + 1)):
+                gone[i] |= {k, k + 1}
     return {i: text if text is None or not gone[i] else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone[i]) for i, text, *_ in rows}
 
 
@@ -364,8 +360,30 @@ def test_line_dedup(spark, docs, rows):
     got = line_dedup.dedup(frame).collect()
     want = plain_dedup(rows + extra)
     assert len(got) == len(rows) + len(extra) and all(r.text == want[r.doc_id] for r in got)
-    assert sum(r.n_removed for r in got if r.doc_id >= 200) >= 6 * 4  # most of the passage goes, edges may stay
-    assert all(a in line_dedup.chunk_bounds(np.arange(9, dtype=np.uint64)) for a in line_dedup.chunk_bounds(np.arange(9, dtype=np.uint64)))
+    assert sum(r.n_removed for r in got if r.doc_id >= 200) >= 6 * 8
+
+
+def test_line_dedup_of_rows_with_one_id(spark):
+    """Unequal texts under one doc_id are documents of their own, and none but repeated lines go."""
+    rng = random.Random(8)
+    unique = ["\n".join(prose(rng, 12) for _ in range(8)) for _ in range(6)]
+    shared = "\n".join(prose(rng, 12) for _ in range(3))
+    data = [(5, t) for t in unique[:3]] + [(5, f"{shared}\n{unique[3]}"), (6, f"{unique[4]}\n{shared}"), (6, unique[0]), (None, unique[0]), (5, unique[1]), (7, unique[5])]
+    frame = spark.createDataFrame(data, "doc_id long, text string").withColumns({"n_lines": F.lit(7), "row": F.lit("x"), "__gone": F.lit(1)})
+    got = sorted((-1 if r.row.doc_id is None else r.row.doc_id, r.row.text, r.text, r.n_removed) for r in line_dedup.cut(frame).collect())
+    want = [(5, t, t, 0) for t in [*unique[:3], unique[1], f"{shared}\n{unique[3]}"]]
+    want += [(6, f"{unique[4]}\n{shared}", unique[4], 3), (6, unique[0], "", 8), (-1, unique[0], unique[0], 0), (7, unique[5], unique[5], 0)]
+    assert got == sorted(want)
+    kept = line_dedup.cut(frame).select("row.*")
+    assert kept.columns == frame.columns and {r.n_lines for r in kept.collect()} == {7}
+
+
+def test_line_dedup_compares_bytes(spark, monkeypatch):
+    """With hashes that say all pairs are equal, nothing but equal bytes goes."""
+    monkeypatch.setattr(line_dedup, "rolled", lambda h: (np.zeros(len(h) - 1, np.int64), np.zeros(len(h) - 1, np.int64)))
+    data = [(1, "a\nb\nc"), (2, "a\nb"), (3, "a\nx"), (4, "b\nc")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {1: "a\nb\nc", 2: "", 3: "a\nx", 4: "b\nc"}
 
 
 def test_short_repeated_passages(spark):
