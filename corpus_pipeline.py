@@ -31,9 +31,7 @@ MIN_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    known = langid.identify(named, model).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return known.select("row.*")
+    return langid.stays(docs, model, MIN_SCORE)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

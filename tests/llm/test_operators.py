@@ -137,6 +137,47 @@ def test_language(spark, docs):
     assert len(langid.identify(docs, model).columns) == len(docs.columns) + 1  # score is replaced
 
 
+def test_language_by_plain_counts(spark, monkeypatch):
+    """Batched log-likelihoods equal those of dictionaries of n-gram counts; long texts go in stretches, ties to the first language."""
+    rng = random.Random(4)
+    texts = {g: [" ".join("".join(rng.choice(a) for _ in range(rng.randint(1, 8))) for _ in range(30)) for _ in range(12)] for g, a in (("aa", "abcdeé "), ("bb", "abcxyzß'"), ("", "bcdqß 1"))}
+    data = [(None if k == 0 else 3 * k, t, g) for g, ts in texts.items() for k, t in enumerate(ts)]
+    model = langid.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert model.languages == ["", "aa", "bb"]
+
+    def grams(text):
+        s = " " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " "
+        return Counter(s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1))
+
+    bucket = lambda g: int(langid.buckets(langid.codes_of(g), len(g), langid.BITS)[0])
+    counts = {g: Counter() for g in texts}
+    for g, ts in texts.items():
+        for t in ts:
+            for x, n in grams(t).items():
+                counts[g][bucket(x)] += n
+    logp = lambda g, b: np.log((counts[g][b] + 0.5) / (sum(counts[g].values()) + 0.5 * 2**langid.BITS))
+    asked = [" ".join(rng.choice(sum(texts.values(), [])) for _ in range(rng.randint(1, 9))) for _ in range(9)] + ["é", "a b"]
+    want = np.array([[sum(n * logp(g, bucket(x)) for x, n in grams(t).items()) for g in model.languages] for t in asked])
+    read = [langid.letters(t) for t in asked]
+    assert np.allclose(model.likelihoods(read), want, rtol=1e-5)
+    monkeypatch.setattr(langid, "CODES", 50)
+    assert np.allclose(model.likelihoods(read), want, rtol=1e-5)
+    pred, score = model.predict([*asked, None, "", "12 !"])
+    assert pred == [model.languages[k] for k in want.argmax(1)] + ["und"] * 3 and score[-3:] == [0.0] * 3 and all(1 / 3 <= s <= 1 for s in score[:-3])
+    flat = langid.Model(["x", "y"], np.zeros((1 << langid.BITS, 2)))
+    assert flat.predict(["tie"]) == (["x"], [0.5])
+
+
+def test_language_of_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MATRIX_BYTES", 4 * 4 << langid.LEAST_BITS)
+    data = [(i, t, g) for i, (t, g) in enumerate([("abab", "a"), ("cdcd", "b"), ("xyxy", "c"), ("uvuv", "d")])]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    assert langid.fit(frame).bits == langid.LEAST_BITS
+    assert [r.lang_pred for r in langid.identify(frame, langid.fit(frame)).orderBy("doc_id").collect()] == list("abcd")
+    with pytest.raises(ValueError):
+        langid.fit(frame.unionByName(spark.createDataFrame([(9, "mn", "e")], frame.schema)))
+
+
 # 3
 
 
