@@ -1,17 +1,26 @@
 """Quality rules: distribution divergence from language references, in DataFrame expressions alone.
 
-One pass measures each text: base measures, a histogram over character classes, and counts of
-common words (fixed lists).  The measures, a few hundred bytes a document, are written to the
-checkpoint folder; summed over all documents of a language they are its references.  A document is
-then rejected if the Jensen-Shannon distance (base 2, from 0 to 1) of its character classes or of
-its common words to its language's reference exceeds the threshold; texts under the least length,
-and with fewer common words than the least number, are not judged by that histogram.
-
-References are one row a language.  Up to MAX_LANGUAGES of them are collected and broadcast; beyond
-that they are joined by a shuffle.
-
-Cases: null text counts as empty (no words, base_failed); a document of null language is held against
-the reference of all documents by its character classes, and not judged by its words; repeated rows get equal results;
+1. The words of all labelled documents are counted by language; the TOP most frequent ones of each
+   (ties by the word) are its common words; their shares of all words, and the share of all other
+   words together, are its reference.
+2. One pass measures each text: base measures, a histogram over character classes, and one over the
+   common words of its language and all other words.  The measures, some hundred bytes a document, are written to
+   the checkpoint folder.
+3. Character classes, summed over a language's documents that pass the base rules, are its other
+   reference.  A document is rejected if the Jensen-Shannon distance (base 2, from 0 to 1) of its
+   character classes or of its common words to its language's reference exceeds the threshold.
+
+Guards: texts under ``least_chars`` aren't judged, by words they aren't with fewer than ``least_words``
+of them, and no text counts for a reference under ``least_chars``.  A language of fewer than
+``least_documents`` documents in its reference has none: its documents, and those of null language,
+are held against the classes of all documents, and aren't judged by their words.
+
+References are one row a language.  If all of them are within BROADCAST_BYTES they are broadcast;
+beyond that they are joined by a shuffle.  Up to MOST_LITERALS common words of all languages together
+stand in the plan as one hash set; beyond that each text is held against its language's own list.
+
+Cases: null text counts as empty (no words, base_failed); repeated rows get equal results; an empty
+lang is a language; a very long text is held by one task, with its words and their windows as arrays;
 an empty table gives no rows; columns other than doc_id, text and lang are ignored.
 """
 
@@ -19,20 +28,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from flowgrid.llm.common import SPACE, checkpointed
 
 SYMBOLS = "#*$%&|<>"
 #: Character classes, apart from symbols, space and the rest.
 CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "stop": r".,;:!?'\"()\-"}
-#: Common words of four languages (fixed values).
-COMMON = (
-    "the of and to in is it that was for on are as with this be at by from or an a he his not but have they you "
-    "der die das und ist nicht ein eine zu den von mit sich auf für im dem des als auch es an werden aus er "
-    "le la les de des et est un une dans que qui pour pas sur avec au par il elle ne se ce du en "
-    "el los las del y una por con para su al lo como más pero sus no ha"
-).split()
-MAX_LANGUAGES = 512
+#: Common words of a language.
+TOP = 50
+BROADCAST_BYTES = 32 << 20
+MOST_LITERALS = 20_000
 
 
 def let(value: Column, body) -> Column:
@@ -59,20 +65,54 @@ def repeated_words(words: Column) -> Column:
     return let(let(let(words, windows), twice), covered)
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """Base measures, character-class counts and common-word counts of each text."""
+def run_lengths(words: Column) -> Column:
+    """(word, n) of each distinct word of a sorted array."""
+    first = lambda x, k: F.when(F.coalesce(F.get(words, k - 1) != x, F.lit(True)), F.struct(x.alias("word"), k.alias("at")))
+    starts = F.filter(F.transform(words, first), lambda x: x.isNotNull())
+    length = lambda s: F.transform(s, lambda x, k: F.struct(x["word"].alias("word"), (F.coalesce(F.get(s, k + 1)["at"], F.size(words)) - x["at"]).cast("long").alias("n")))
+    return let(starts, length)
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def letter_words(text: Column) -> Column:
+    return F.split(F.lower(text), r"[^\p{L}]+")
+
+
+def common_words(docs: DataFrame, least_chars: int) -> DataFrame:
+    """(lang, words, shares): each language's most frequent words in order; their shares, and behind them that of all other words."""
+    long_enough = _read(docs).where(F.col("lang").isNotNull() & (F.length("text") >= least_chars))
+    counts = long_enough.select("lang", F.explode(letter_words(F.col("text"))).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= TOP)
+    found = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("w"), F.sum("n").alias("top"))
+    found = found.join(counts.groupBy("lang").agg(F.sum("n").cast("double").alias("total")), "lang")  # both are a row a language
+    others = F.array((F.col("total") - F.col("top")) / F.col("total"))
+    return found.select("lang", F.col("w.word").alias("words"), F.concat(F.transform("w", lambda x: x["n"] / F.col("total")), others).alias("shares"))
+
+
+def _by_language(rows: DataFrame, refs: DataFrame) -> DataFrame:
+    """rows with the columns of their language's row in refs (null where there is none)."""
+    size = sum((F.octet_length(F.to_json(F.struct(c))) for c in refs.columns), F.lit(200))
+    if (refs.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES:
+        refs = F.broadcast(refs)
+    return rows.join(refs.withColumnRenamed("lang", "ref_lang"), F.col("lang") == F.col("ref_lang"), "left").drop("ref_lang")
+
+
+def measures(docs: DataFrame, common: DataFrame) -> DataFrame:
+    """Base measures, character-class counts and counts of the language's common words of each text."""
     text = F.col("text")
     length = lambda pattern: F.length(F.regexp_replace(text, pattern, "")).cast("long")
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    read = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    read = _by_language(_read(docs), common.select("lang", "words"))
     # One measure of the words at a time: the array is made once for both.
     of_words = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("again")))
     of_lines = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    common = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w.isin(*COMMON))
-    counted = lambda c: let(
-        F.array_distinct(c), lambda d: F.map_from_arrays(d, F.transform(d, lambda w: F.size(F.filter(c, lambda x: x == w)).cast("long")))
-    )
+    listed = [r.w for r in common.select(F.explode("words").alias("w")).distinct().limit(MOST_LITERALS + 1).collect()]
+    is_common = (lambda x: x.isin(listed)) if 0 < len(listed) <= MOST_LITERALS else lambda x: F.array_contains(F.col("words"), x)
+    found = lambda a: F.struct(F.size(a).alias("n"), let(F.array_sort(F.filter(a, is_common)), run_lengths).alias("words"))
     out = read.select(
         "doc_id",
         "lang",
@@ -82,34 +122,27 @@ def measures(docs: DataFrame) -> DataFrame:
         length(SPACE).alias("word_chars"),
         length(f"[^{SYMBOLS}]+").alias("n_symbols"),
         *[length(f"[^{c}]+").alias(f"c_{k}") for k, c in CLASSES.items()],
-        let(common, counted).alias("common"),
+        F.when(F.col("words").isNotNull(), let(F.filter(letter_words(text), lambda x: x != ""), found)).alias("common"),
     )
     seen = sum((F.col(f"c_{k}") for k in CLASSES), F.col("n_symbols"))
     histogram = F.array(*[F.col(f"c_{k}") for k in CLASSES], F.col("n_symbols"), F.col("n_chars") - F.col("word_chars"), F.col("word_chars") - seen)
+    failed = (F.col("w.n") < 50) | (100 * F.col("w.again") > 50 * F.col("w.n"))
     return out.select(
         "doc_id", "lang", "n_chars", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
-        F.col("w.again").alias("n_repeat_words"), histogram.alias("classes"), "common",
+        F.col("w.again").alias("n_repeat_words"), failed.alias("base_failed"), histogram.alias("classes"),
+        F.coalesce("common.n", F.lit(0)).alias("n_letter_words"), F.col("common.words").alias("common"),
     )
 
 
-def references(measured: DataFrame) -> DataFrame:
-    """lang (null: all documents), class shares, shares of common words."""
+def class_references(measured: DataFrame, least_chars: int) -> DataFrame:
+    """(lang, n_docs, class_ref): shares of character classes; the row of null lang is of all documents."""
     n = len(CLASSES) + 3
-    sums = measured.groupBy("lang").agg(*[F.sum(F.get("classes", F.lit(k))).alias(f"c{k}") for k in range(n)])
-    sums = sums.select("lang", F.array(*[f"c{k}" for k in range(n)]).alias("c"))
-    words = measured.select("lang", F.explode("common").alias("word", "n")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    both = sums.where("lang is not null").unionByName(sums.groupBy(F.lit(None).cast("string").alias("lang")).agg(F.array(*[F.sum(F.get("c", F.lit(k))) for k in range(n)]).alias("c")))
-    per = words.where("lang is not null").unionByName(words.groupBy(F.lit(None).cast("string").alias("lang"), "word").agg(F.sum("n").alias("n")))
-    maps = per.groupBy(F.col("lang").alias("l")).agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("m"))  # at most one entry a common word
-    joined = both.join(maps, F.col("lang").eqNullSafe(F.col("l")), "left")
-    share = lambda x, total: x / F.greatest(total, F.lit(1)).cast("double")
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    none = F.expr("cast(map() as map<string,bigint>)")
-    return joined.select(
-        "lang",
-        F.transform("c", lambda x: share(x, total(F.col("c")))).alias("class_ref"),
-        F.transform_values(F.coalesce("m", none), lambda k, v: share(v, total(F.map_values("m")))).alias("common_ref"),
-    )
+    sums = [F.sum(F.get("classes", F.lit(k))).alias(f"c{k}") for k in range(n)]
+    by_lang = measured.where(~F.col("base_failed") & (F.col("n_chars") >= least_chars)).groupBy("lang").agg(F.count("*").alias("n_docs"), *sums)
+    every = by_lang.agg(F.sum("n_docs").alias("n_docs"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(n)]).where("n_docs > 0")
+    both = by_lang.where("lang is not null").unionByName(every.withColumn("lang", F.lit(None).cast("string")))
+    total = F.greatest(sum((F.col(f"c{k}") for k in range(n)), F.lit(0)), F.lit(1)).cast("double")
+    return both.select("lang", "n_docs", F.array(*[F.col(f"c{k}") / total for k in range(n)]).alias("class_ref"))
 
 
 def _part(p: Column, q: Column) -> Column:
@@ -125,36 +158,45 @@ def class_distance() -> Column:
 
 
 def common_distance() -> Column:
-    """Words of the reference that the text lacks add their whole share."""
-    total = F.greatest(F.col("n_common"), F.lit(1)).cast("double")
-    ref = lambda w: F.coalesce(F.try_element_at("common_ref", w), F.lit(0.0))
-    entries = F.map_entries("common")
-    there = F.aggregate(entries, F.lit(0.0), lambda s, e: s + _part(e["value"] / total, ref(e["key"])) - ref(e["key"]))
-    return F.sqrt(F.greatest((there + F.when(F.size("common_ref") > 0, 1.0).otherwise(0.0)) / 2, F.lit(0.0)))
+    """Common words that the text lacks add their whole share; all other words are one bin."""
+    total = F.greatest(F.col("n_letter_words"), F.lit(1)).cast("double")
+    shares = F.map_from_arrays("words", F.slice("shares", 1, F.size("words")))
+
+    def far(ref: Column) -> Column:
+        own = F.filter(F.transform("common", lambda e: F.struct(e["n"].alias("n"), F.try_element_at(ref, e["word"]).alias("q"))), lambda e: e["q"].isNotNull())
+
+        def over(e: Column) -> Column:
+            there = F.aggregate(e, F.lit(0.0), lambda s, x: s + _part(x["n"] / total, x["q"]) - x["q"])
+            p = F.aggregate(e, F.lit(0).cast("long"), lambda s, x: s + x["n"]) / total
+            others = F.element_at("shares", -1)
+            return there + (1 - others) + _part(1 - p, others)
+
+        return let(own, over)
+
+    return F.sqrt(F.greatest(let(shares, far) / 2, F.lit(0.0)))
 
 
 def judge(
     docs: DataFrame,
     *,
     max_class_distance: float = 0.25,
-    max_common_distance: float = 0.75,
+    max_common_distance: float = 0.5,
     least_chars: int = 200,
-    least_common: int = 20,
+    least_words: int = 50,
+    least_documents: int = 20,
 ) -> DataFrame:
     """doc_id, base measures, base_failed, both distances (null: not judged) and kept."""
-    measured = checkpointed(measures(docs))
-    refs = references(measured)
-    rows = refs.limit(MAX_LANGUAGES + 1).collect()
-    if len(rows) <= MAX_LANGUAGES:
-        refs = F.broadcast(docs.sparkSession.createDataFrame(rows, refs.schema))
-    pairs = measured.join(refs.withColumnRenamed("lang", "ref_lang"), F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
-    n_common = F.aggregate(F.map_values("common"), F.lit(0).cast("long"), lambda s, x: s + x)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = pairs.withColumn("n_common", n_common).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"),
+    common = checkpointed(common_words(docs, least_chars))
+    measured = checkpointed(measures(docs, common))
+    classes = checkpointed(class_references(measured, least_chars))
+    whole = classes.where("lang is null").select(F.col("class_ref").alias("whole_ref"))  # one row at most
+    own = classes.where(F.col("lang").isNotNull() & (F.col("n_docs") >= least_documents)).drop("n_docs").join(common, "lang", "left")
+    pairs = _by_language(measured, own).join(F.broadcast(whole), F.lit(True), "left")
+    known = F.col("class_ref").isNotNull()
+    judged = pairs.withColumns({"known": known, "class_ref": F.coalesce("class_ref", "whole_ref")}).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.when(F.col("n_chars") >= least_chars, class_distance()).alias("class_distance"),
-        F.when((F.col("n_common") >= least_common) & F.col("lang").isNotNull(), common_distance()).alias("common_distance"),
+        F.when((F.col("n_letter_words") >= least_words) & F.col("known"), common_distance()).alias("common_distance"),
     )
     far = (F.coalesce("class_distance", F.lit(0.0)) > max_class_distance) | (F.coalesce("common_distance", F.lit(0.0)) > max_common_distance)
     return judged.withColumn("kept", ~F.col("base_failed") & ~far)

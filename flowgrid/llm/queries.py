@@ -146,8 +146,8 @@ def _op7_sql() -> str:
     names = [*quality.CLASSES, "symbol", "space", "other"]
     classes = ", ".join(f"{count(c)} AS {k}" for k, c in ((k, c.replace("'", "''")) for k, c in quality.CLASSES.items()))
     part = lambda p, q: f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END)"
-    by_class = " + ".join(part(f"(m.{k} / CAST(greatest(m.n_chars, 1) AS DOUBLE))", f"(r.{k} / CAST(r.total AS DOUBLE))") for k in names)
-    common = ", ".join("'" + w + "'" for w in quality.COMMON)
+    by_class = " + ".join(part(f"(m.{k} / CAST(greatest(m.n_chars, 1) AS DOUBLE))", f"(m.r_{k} / CAST(m.r_total AS DOUBLE))") for k in names)
+    sums = ', '.join(f'sum({k}) AS {k}' for k in names)
     return rf"""
 WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS x FROM documents),
 b AS (SELECT doc_id, lang, x, regexp_extract_all(x, {words}) AS w, length(x) AS n_chars, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
@@ -156,17 +156,26 @@ m AS (SELECT *, n_symbols AS symbol, n_chars - word_chars AS space, word_chars -
 g AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS c, w[i + 2] AS e FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM m)),
 again AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, c, e) AS n FROM g) WHERE n > 1) GROUP BY doc_id),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(x, chr(10))) AS l FROM m) WHERE regexp_matches(l, {words}) GROUP BY doc_id),
-refs AS (SELECT lang, {', '.join(f'sum({k}) AS {k}' for k in names)}, sum(n_chars) AS total FROM m WHERE lang IS NOT NULL GROUP BY lang UNION ALL SELECT NULL, {', '.join(f'sum({k})' for k in names)}, sum(n_chars) FROM m HAVING count(*) > 0),
-cw AS (SELECT doc_id, lang, v, count(*) AS n FROM (SELECT doc_id, lang, unnest(regexp_extract_all(lower(x), '\p{{L}}+')) AS v FROM m) WHERE v IN ({common}) GROUP BY ALL),
-cr AS (SELECT lang, v, sum(n) / CAST(sum(sum(n)) OVER (PARTITION BY lang) AS DOUBLE) AS q FROM cw WHERE lang IS NOT NULL GROUP BY lang, v UNION ALL SELECT NULL, v, sum(n) / CAST(sum(sum(n)) OVER () AS DOUBLE) FROM cw GROUP BY v),
-cp AS (SELECT cw.doc_id, n / CAST(sum(n) OVER (PARTITION BY cw.doc_id) AS DOUBLE) AS p, sum(n) OVER (PARTITION BY cw.doc_id) AS total, q FROM cw JOIN cr ON cw.v = cr.v AND cw.lang IS NOT DISTINCT FROM cr.lang),
-cd AS (SELECT doc_id, max(total) AS total, sqrt(greatest((sum({part('p', 'q')} - q) + 1) / 2, 0)) AS far FROM cp GROUP BY doc_id),
-j AS (SELECT m.doc_id, len(m.w) AS n_words, m.word_chars, m.n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words,
-  CASE WHEN m.n_chars >= 200 THEN sqrt(greatest(({by_class}) / 2, 0)) END AS class_distance, CASE WHEN cd.total >= 20 AND m.lang IS NOT NULL THEN cd.far END AS common_distance
-  FROM m JOIN refs r ON m.lang IS NOT DISTINCT FROM r.lang LEFT JOIN again ON again.doc_id = m.doc_id LEFT JOIN dup ON dup.doc_id = m.doc_id LEFT JOIN cd ON cd.doc_id = m.doc_id),
-k AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM j)
+d AS (SELECT m.*, len(m.w) AS n_words, coalesce(dup.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, len(m.w) < 50 OR 100 * coalesce(again.n, 0) > 50 * len(m.w) AS base_failed
+  FROM m LEFT JOIN again ON again.doc_id = m.doc_id LEFT JOIN dup ON dup.doc_id = m.doc_id),
+good AS (SELECT * FROM d WHERE NOT base_failed AND n_chars >= 200),
+refs AS (SELECT lang, {sums}, sum(n_chars) AS total FROM good WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= 20),
+whole AS (SELECT {sums}, sum(n_chars) AS total FROM good HAVING count(*) > 0),
+v AS (SELECT doc_id, lang, n_chars, unnest(regexp_extract_all(lower(x), '\p{{L}}+')) AS v FROM m WHERE lang IS NOT NULL),
+vc AS (SELECT lang, v, count(*) AS n FROM v WHERE n_chars >= 200 GROUP BY ALL),
+cr AS (SELECT lang, v, n / CAST(total AS DOUBLE) AS q FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, v) AS r, sum(n) OVER (PARTITION BY lang) AS total FROM vc) WHERE r <= {quality.TOP}),
+ct AS (SELECT lang, sum(q) AS q FROM cr GROUP BY lang),
+n AS (SELECT doc_id, lang, count(*) AS total FROM v GROUP BY ALL),
+cp AS (SELECT n.doc_id, v.v, any_value(cr.q) AS q, count(*) / CAST(any_value(n.total) AS DOUBLE) AS p FROM v JOIN n ON n.doc_id = v.doc_id JOIN cr ON cr.lang = v.lang AND cr.v = v.v GROUP BY ALL),
+cs AS (SELECT doc_id, sum({part('p', 'q')} - q) AS there, sum(p) AS p FROM cp GROUP BY doc_id),
+co AS (SELECT n.doc_id, n.total, coalesce(cs.there, 0) + ct.q AS there, 1 - coalesce(cs.p, 0) AS p, 1 - ct.q AS q FROM n JOIN ct ON ct.lang = n.lang LEFT JOIN cs ON cs.doc_id = n.doc_id),
+cd AS (SELECT doc_id, total, sqrt(greatest((there + {part('p', 'q')}) / 2, 0)) AS far FROM co),
+k AS (SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  CASE WHEN n_chars >= 200 AND m.r_total IS NOT NULL THEN sqrt(greatest(({by_class}) / 2, 0)) END AS class_distance, CASE WHEN cd.total >= 50 AND own IS NOT NULL THEN cd.far END AS common_distance
+  FROM (SELECT d.*, refs.lang AS own, {', '.join(f'CASE WHEN refs.lang IS NULL THEN whole.{k} ELSE refs.{k} END AS r_{k}' for k in [*names, 'total'])} FROM d LEFT JOIN refs ON refs.lang = d.lang LEFT JOIN whole ON TRUE) m
+  LEFT JOIN cd ON cd.doc_id = m.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(class_distance, 6) AS class_distance, round(common_distance, 6) AS common_distance,
-  NOT base_failed AND NOT (coalesce(class_distance, 0) > 0.25 OR coalesce(common_distance, 0) > 0.75) AS kept FROM k
+  NOT base_failed AND NOT (coalesce(class_distance, 0) > 0.25 OR coalesce(common_distance, 0) > 0.5) AS kept FROM k
 """
 
 

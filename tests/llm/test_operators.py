@@ -470,21 +470,55 @@ def jsd(p, q):
     return (max(0.0, (kl(p) + kl(q)) / 2)) ** 0.5
 
 
-def test_quality_distances(spark):
-    data = [(i, "the of and house. " * (20 + i), "en") for i in range(8)] + [(8, "THE!! OF!! " * 60, "en"), (9, "the and of of ##### $$$$ " * 30, None)]
-    frame = spark.createDataFrame(data, "doc_id long, text string, lang string")
-    measured = {r.doc_id: r for r in quality.measures(frame).collect()}
-    judged = {r.doc_id: r for r in quality.judge(frame).collect()}
-    for i, _, lang in data:
-        group = [measured[k] for k, _, g in data if lang is None or g == lang]
-        ref = np.sum([r["classes"] for r in group], 0)
-        own = np.array(measured[i]["classes"])
-        assert abs(judged[i].class_distance - jsd(own / own.sum(), ref / ref.sum())) < 1e-9
-        if judged[i].common_distance is not None:
-            keys = sorted({k for r in group for k in r.common})
-            p, q = np.array([measured[i].common.get(k, 0) for k in keys]), np.array([sum(r.common.get(k, 0) for r in group) for k in keys])
-            assert abs(judged[i].common_distance - jsd(p / p.sum(), q / q.sum())) < 1e-9
-    assert not judged[8].kept
+def plain_quality(data):
+    """(class distance, common distance) of each row of (doc_id, text, lang), by plain counting."""
+    bins = [set("abcdefghijklmnopqrstuvwxyz"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), set("0123456789"), set(".,;:!?'\"()-"), set("#*$%&|<>"), set(" \t\n\x0b\f\r")]
+
+    def histogram(text):
+        at = [next((k for k, b in enumerate(bins) if c in b), 6) for c in text]
+        return np.bincount(at, minlength=7).astype(float)
+
+    passes = []
+    for _, text, lang in data:
+        w = words(text)
+        grams = Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {k + d for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for d in range(3)}
+        passes.append(len(w) >= 50 and 100 * len(covered) <= 50 * len(w) and len(text) >= 200)
+    good = [(lang, histogram(text)) for (_, text, lang), ok in zip(data, passes, strict=True) if ok]
+    langs = {g for g, _ in good if g is not None and sum(x == g for x, _ in good) >= 20}
+    refs = {g: sum(h for x, h in good if x == g) for g in langs} | {None: sum(h for _, h in good)}
+    said = {g: Counter(v for _, t, x in data if x == g and len(t or "") >= 200 for v in re.findall(r"[^\W\d_]+", t.lower())) for g in langs}
+    top = {g: sorted(c.items(), key=lambda x: (-x[1], x[0]))[: quality.TOP] for g, c in said.items()}
+    out = []
+    for _, text, lang in data:
+        text, own, ref = text or "", None, refs[lang if lang in langs else None]
+        if lang in langs:
+            n = Counter(re.findall(r"[^\W\d_]+", text.lower()))
+            among = lambda c, g=lang: np.array([c[w] for w, _ in top[g]] + [sum(c.values()) - sum(c[w] for w, _ in top[g])], float)
+            p, q = among(n), among(said[lang])
+            own = jsd(p / p.sum(), q / q.sum()) if p.sum() >= 50 else None
+        h = histogram(text)
+        out.append((jsd(h / h.sum(), ref / ref.sum()) if len(text) >= 200 else None, own))
+    return out
+
+
+def test_quality_distances(spark, monkeypatch):
+    rng = random.Random(9)
+    vocab = {"en": [f"{w}{chr(97 + k)}" for w in WORDS for k in range(4)], "de": [f"{w}{x}" for w in "der die das und ist nicht ein zu den von mit sich".split() for x in ("", "en", "ung", "ße", "ü", "x")]}
+    data = [(i, " ".join(rng.choice(vocab[g]) for _ in range(rng.randint(20, 160))) + ".", g) for i, g in enumerate(["en", "de"] * 30)]
+    data += [(100, " ".join(rng.choice(vocab["de"]) for _ in range(90)), "en"), (101, "### $$$ %%% " * 80 + data[0][1], "en"), (102, data[0][1], None), (103, data[1][1], "xx")]
+    data += [(104, "THE!! OF!! " * 60, "en"), (105, None, "en"), (106, "", None), (107, "ok", "")]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in quality.judge(frame.unionByName(frame.where("doc_id = 0"))).collect()}
+    for (i, *_), (far, own) in zip(data + data[:0], plain_quality([*data, data[0]]), strict=False):
+        for mine, want in ((got[i].class_distance, far), (got[i].common_distance, own)):
+            assert (mine is None) == (want is None) and (want is None or abs(mine - want) < 1e-9), i
+    assert not got[100].kept and got[100].common_distance > 0.5 and not got[101].kept and not got[104].kept
+    assert got[103].common_distance is None and all(got[i].kept for i in range(60) if not got[i].base_failed)
+    monkeypatch.setattr(quality, "MOST_LITERALS", 3)
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", 0)
+    again = {r.doc_id: r for r in quality.judge(frame).collect()}
+    assert all((again[i].kept, again[i].common_distance is None) == (got[i].kept, got[i].common_distance is None) for i in got)
 
 
 # 8
