@@ -1,7 +1,8 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Vectors are ordered by length into buckets of about BUCKET rows (bucket bounds are quantiles of the
-length; a bucket that ties make larger is split by a hash).  Queries form blocks.  First each query
+length, LEAST_PARTS of them at least; a bucket that ties make larger is split by a hash).  Queries of
+like length form blocks.  First each query
 meets the bucket of the longest vectors, which gives a lower bound of its k-th score.  A bucket whose
 longest vector times the block's longest query can't reach the least bound of the block is left out;
 the others meet the block.  There each query has a local threshold on the cosine, its bound divided by
@@ -12,7 +13,10 @@ cosine (widened a little against rounding).  Exact integer products of what is l
 Cases: vectors that are null, empty, or hold a null or non-finite component take no part, as queries
 or as candidates; vectors of another dimension than the query's are no candidates.  Ties go to the
 smaller id.  Rows that share an id are all candidates, and a query row is met by every other row's id
-but its own; a query id that occurs in several rows is answered once, for its first vector.
+but its own; a query id that occurs in several rows is answered once, for the least of its vectors
+(component by component).  Scores are 64-bit integers: where the square of the largest quantized
+component, times the dimension, reaches 2^63 (components of
+1.4 million at 64 dimensions and a scale of 256), a ValueError is raised, so that nothing wraps around.
 Fewer candidates than k give fewer rows; an empty table gives none; other columns are ignored.
 """
 
@@ -29,17 +33,20 @@ from pyspark.sql.window import Window as W
 from flowgrid.llm.common import checkpointed
 
 BUCKET, BLOCK = 4096, 256
-#: Most length classes; a class of more rows than two buckets is split by a hash.
-MAX_PARTS = 2048
+#: Least and most length classes; a class of more rows than two buckets is split by a hash.
+LEAST_PARTS, MAX_PARTS = 16, 2048
+#: Ways by which the first bucket goes to the blocks.
+SALTS = 16
 COORDINATE = 0.6
 FOCUS = 3
 
 
 def quantized(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(id, dim, norm, v): floor(scale * x) of the components of usable vectors."""
+    """(id, dim, norm, v): floor(scale * x) of the components of usable vectors; what no 64-bit integer can hold is kept at 2^62."""
     x = F.col("embedding").cast("array<double>")
-    fine = (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e12))
-    v = F.transform(x, lambda c: F.floor(c * scale).cast("long"))
+    fine = (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    most = float(1 << 62)
+    v = F.transform(x, lambda c: F.greatest(F.least(F.floor(F.greatest(F.least(c * scale, F.lit(most)), F.lit(-most))), F.lit(1 << 62)), F.lit(-(1 << 62))).cast("long"))
     read = vectors.select(F.col("vec_id").cast("long").alias("id"), F.when(fine, v).alias("v")).where("id is not null and v is not null")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))
     return read.select("id", F.size("v").alias("dim"), norm.alias("norm"), "v")
@@ -118,9 +125,12 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def search(vectors: DataFrame, is_query, *, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best among all other rows."""
     v = checkpointed(quantized(vectors, scale))
-    total = v.count()
-    n = min(MAX_PARTS, max(1, -(-total // BUCKET)))
-    cuts = v.approxQuantile("norm", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
+    largest = F.max(F.greatest(F.array_max("v"), -F.array_min("v")))
+    total, most, dims = v.agg(F.count("*"), F.coalesce(largest, F.lit(0)), F.coalesce(F.max("dim"), F.lit(0))).first()
+    if most * most * dims >= 1 << 63:
+        raise ValueError(f"components up to {most} / {scale} in {dims} dimensions: their products don't fit 64-bit scores")
+    n = min(MAX_PARTS, max(LEAST_PARTS, -(-total // BUCKET)))
+    cuts = v.approxQuantile("norm", [i / n for i in range(1, n)], 1 / (4 * n)) if total else []
     longer = F.lit(0)  # number of cuts at or above the norm: 0 is the bucket of the longest
     if cuts:
         longer = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c > F.col("norm")))
@@ -129,16 +139,23 @@ def search(vectors: DataFrame, is_query, *, k: int = 5, scale: int = 256) -> Dat
     split = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / (2 * BUCKET)))
     placed = placed.join(sizes, (F.col("part") == F.col("p")) & (F.col("dim") == F.col("d")))  # one row a length class and dimension
     buckets = checkpointed(_blocks(placed.withColumn("bucket", F.col("part") * (1 << 32) + split), "bucket"))
-    # Queries of like length share a block; so that blocks stay small, a hash splits them further.
-    asked = placed.where(is_query(F.col("id"))).dropDuplicates(["id"])
+    # Queries of like length share a block; a length that many share is split by a hash.
+    one = F.min(F.struct("v", "dim", "norm")).alias("one")
+    asked = checkpointed(v.where(is_query(F.col("id"))).groupBy("id").agg(one).select("id", "one.*"))
+    n_asked = asked.count()
+    m = min(MAX_PARTS, -(-n_asked // BLOCK))
+    q_cuts = asked.approxQuantile("norm", [i / m for i in range(1, m)], 1 / (4 * m)) if m > 1 else []
+    q_part = F.size(F.filter(F.array(*map(F.lit, sorted(set(q_cuts)))), lambda c: c > F.col("norm"))) if q_cuts else F.lit(0)
+    asked = asked.withColumn("part", q_part.cast("long"))
     per = asked.groupBy(F.col("part").alias("qp")).agg(F.count("*").alias("qn"))
     asked = asked.join(per, F.col("part") == F.col("qp"))
-    block = F.col("part") * (1 << 32) + F.pmod(F.xxhash64("id"), F.ceil(F.col("qn") / BLOCK))
+    block = F.col("part") * (1 << 32) + F.pmod(F.xxhash64("id"), F.ceil(F.col("qn") / (2 * BLOCK)))
     queries = checkpointed(_blocks(asked.withColumn("block", block), "block"))
     q = queries.select("block", F.col("dim").alias("q_dim"), F.col("longest").alias("q_longest"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
     none = F.transform("q_ids", lambda _: F.lit(0).cast("long"))
     top = buckets.groupBy(F.col("dim").alias("t_dim")).agg(F.max(F.struct("longest", "bucket")).alias("t"))
-    heads = q.join(top, F.col("q_dim") == F.col("t_dim")).join(buckets, (F.col("t.bucket") == F.col("bucket")) & (F.col("q_dim") == F.col("dim")))
+    first = buckets.join(top, (F.col("dim") == F.col("t_dim")) & (F.col("bucket") == F.col("t.bucket"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    heads = q.join(first, (F.col("q_dim") == F.col("dim")) & (F.pmod(F.xxhash64("block"), F.lit(SALTS)) == F.col("salt")))
     columns = ["block", "q_ids", "q_flat", "bounds", "dim", "ids", "flat"]
     head = checkpointed(_meet(heads.withColumn("bounds", none).select(*columns), k))
     # The k-th best so far bounds each query; fewer than k found give no bound.

@@ -545,6 +545,37 @@ def test_topk(spark, monkeypatch):
     assert set(got) == {i for i in fine if i % 50 == 0}
 
 
+def test_topk_prunes(spark, monkeypatch):
+    """Vectors of very different lengths: whole buckets and rows of buckets are left out, and the result is that without pruning."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 6)) * rng.lognormal(sigma=2.0, size=(2000, 1))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, topk.search(frame, lambda i: i % 50 == 0).collect()))
+    fine = np.floor(256 * x).astype(np.int64)
+    for i in range(0, 2000, 50):
+        best = sorted((-int(fine[i] @ w), j) for j, w in enumerate(fine) if j != i)[:5]
+        assert [r[2:] for r in want if r[0] == i] == [(j, -s) for s, j in best]
+    norms = np.linalg.norm(fine, axis=1)
+    order = np.argsort(-norms)[:128]
+    rows = topk._candidates(fine[50] / 1.0, norms[50], norms[order], fine[order] / norms[order][:, None], 0.9 * norms[50] * norms[order][0])
+    cosines = fine[order] @ fine[50] / norms[order] / norms[50]
+    assert len(rows) < 128 and set((cosines * norms[order] >= 0.9 * norms[order][0]).nonzero()[0]) <= set(rows)
+
+
+def test_topk_limits_and_repeated_ids(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    large = [(0, [1e6, 0.0]), (1, [-1e6, 2.0]), (2, [1e6, 1.0])]
+    got = [tuple(r) for r in topk.search(frame(large), lambda i: i == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 2, 256000000**2), (0, 2, 1, -(256000000**2))]
+    for far in (5e9, 1e30, -1e300):
+        with pytest.raises(ValueError):
+            topk.search(frame([*large, (3, [far, 0.0])]), lambda i: i == 0)
+    twice = [(0, [2.0, 0.0]), (0, [1.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 3.0])] * 2
+    for part in (1, 4):
+        got = [tuple(r)[2:] for r in topk.search(frame(twice).repartition(part), lambda i: i == 0).orderBy("rank").collect()]
+        assert got == [(2, 3 * 65536)] * 2 + [(1, 65536)] * 2  # of the least vector, (1, 1)
+
+
 # 9
 
 
