@@ -12,7 +12,11 @@ columns of documents.
 - mixing gives each document as many rows as the mix takes copies of it, in training order.
 - packing returns the pieces of all sequences (see flowgrid.llm.packing).
 
-Null text: rejected by language_id. Empty input: every stage returns no rows.
+Cases: null text is rejected by language_id; empty input gives no rows at any stage.  Rows that are
+repeated in full go through language_id and line_dedup together and near_dup keeps all rows of the doc_id it
+keeps; mixing treats them as documents of their own.  Ties go to the least doc_id, then to the hash of the text.
+Very long texts stay whole in every stage, each held by one task at a time.  Columns beside doc_id,
+text, lang and source are passed through by the first four stages, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowgrid.llm import langid, line_dedup, mixing, neardup, packing
-from flowgrid.llm.common import ensure_checkpoint_dir
+from flowgrid.llm.common import ensure_checkpoint_dir, removed
 from flowgrid.llm.queries import tokenizer_path
 
 MIN_SCORE = 0.5
@@ -58,11 +62,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's output is a table in the shared checkpoint folder."""
+    """All stages over documents; each stage's output is a table in the shared checkpoint folder, until the next one is written."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            removed(spark, f"{folder}/{last}")
+        last = name
     return docs

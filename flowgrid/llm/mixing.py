@@ -12,12 +12,14 @@ and within each, so no task gathers a source.
 
 Positions: each source's weight changes over the training run by a linear ramp (its schedule, whose
 integral is its share).  A copy's position is where the source's integrated demand reaches the copy's
-place in the stream: the inverse of a quadratic.  The result can be range-sorted by it.
+place in the stream: the inverse of a quadratic.  The result can be range-sorted by it; around each
+position the sources then stand in the ratio of their ramps there.
 
 Cases: null text has size 0, documents of size 0 are never taken; null source is a source, last in
-order; null doc_id hashes as an empty string; rows that are repeated in full share one order key, so
-that which of them is taken is not defined, but the result as a bag of rows is; an empty table gives
-no rows; other columns are ignored.
+order; a null doc_id is ordered by a hash of its text; rows that share a doc_id are ordered by that
+hash; rows that are repeated in full share one order key, so that which of them is taken is not
+defined, but the result as a bag of rows is; a very long text is only counted; an empty table gives
+no rows; other columns are ignored by ``mix`` and kept by ``apply_mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -55,19 +57,24 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_repeats
     return share.select("source", "source_size", "weight", "slope", F.coalesce(level * F.col("weight"), F.col("cap").cast("double")).alias("target"))
 
 
-def order_key(doc_id: Column) -> Column:
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def order_key(doc_id: Column, text: Column) -> Column:
+    return F.md5(F.coalesce(doc_id.cast("string"), text_hash(text).cast("string")).cast("binary"))
 
 
 def taken(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3, rows_per_range: int = 4096) -> DataFrame:
     """doc_id, size, source_size, target, taken, and place (words before it in its source's stream), slope, source.
 
-    Sizes are counted once; texts aren't shuffled.
+    Sizes are counted once and written to the checkpoint folder; texts aren't shuffled.
     """
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
-    sized = sized.withColumn("key", order_key(F.col("doc_id")))
+    sized = checkpointed(
+        docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), order_key(F.col("doc_id"), F.col("text")).alias("key"), text_hash(F.col("text")).alias("text_hash"))
+    )
     # A range is a stretch of the key's first 28 bits; as many as the table's length asks for.
-    n = docs.select(F.count(F.lit(1)).alias("n")).first().n
+    n = sized.count()
     ranges = max(1, n // rows_per_range)
     first = F.conv(F.substring("key", 1, 7), 16, 10).cast("long")
     sized = sized.withColumn("range", F.floor(first * ranges / F.lit(1 << 28)).cast("long"))
@@ -76,7 +83,7 @@ def taken(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     starts = by_range.withColumn("range_start", before)
     goals = targets(by_range.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights=weights, max_repeats=max_repeats)
     starts = starts.withColumnRenamed("source", "s").join(goals, F.col("s").eqNullSafe(F.col("source"))).drop("source", "range_size").withColumnRenamed("range", "r")
-    inside = W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "range").orderBy("key", "doc_id", "text_hash").rowsBetween(W.unboundedPreceding, -1)
     placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     both = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     words = F.floor("target").cast("long")
@@ -85,7 +92,7 @@ def taken(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     rest = F.least(F.greatest(words - passes * F.col("source_size") - F.col("place"), F.lit(0)), F.col("size"))
     return both.withColumn("place", F.col("range_start") + F.col("inside")).select(
         "doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + rest).cast("long").alias("taken"),
-        "place", passes.alias("passes"), rest.cast("long").alias("rest"), "slope",
+        "place", passes.alias("passes"), rest.cast("long").alias("rest"), "slope", "text_hash",
     )
 
 
@@ -111,23 +118,24 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
 
     The last copy of a source may be cut off by the target; it stays whole if at least half its words
     are within.  Documents that the mix doesn't take (all without words, and those behind the target) go.
-    Rows are joined by doc_id and size's order key: repeated doc_ids count as copies of one document.
+    Rows are joined by doc_id, source and a hash of the text; those that are equal in these are numbered
+    by a hash of all their columns, so that reruns agree.
     """
     names = docs.columns
     plan = taken(docs, **options).withColumn("copies", F.col("passes") + (2 * F.col("rest") >= F.greatest(F.col("size"), F.lit(1))).cast("long"))
     plan = plan.where("copies > 0 and size > 0").select(
-        F.col("doc_id").alias("__mix_id"), F.col("size").alias("__mix_size"), F.col("source").alias("__mix_source"), "copies", "place", "source_size", "target", "slope"
+        F.col("doc_id").alias("__mix_id"), F.col("text_hash").alias("__mix_hash"), F.col("source").alias("__mix_source"), "copies", "place", "source_size", "target", "slope"
     )
-    key = ["__mix_id", "__mix_size", "__mix_source"]
+    key = ["__mix_id", "__mix_hash", "__mix_source"]
     plan = checkpointed(plan.withColumn("__mix_nth", F.row_number().over(W.partitionBy(*key).orderBy("place"))))
     marked = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("__mix_row"),
-        F.col("doc_id").alias("__id"), n_words(F.col("text")).alias("__size"), F.col("source").cast("string").alias("__source"),
+        F.col("doc_id").alias("__id"), text_hash(F.col("text")).alias("__hash"), F.col("source").cast("string").alias("__source"),
     )
-    pairs = F.col("__id").eqNullSafe(F.col("__mix_id")) & (F.col("__size") == F.col("__mix_size")) & F.col("__source").eqNullSafe(F.col("__mix_source"))
+    pairs = F.col("__id").eqNullSafe(F.col("__mix_id")) & (F.col("__hash") == F.col("__mix_hash")) & F.col("__source").eqNullSafe(F.col("__mix_source"))
     if not plan.where("__mix_nth > 1").isEmpty():
         # Repeated rows: they are numbered on both sides, so that each meets one row of the plan.
-        marked = marked.withColumn("__nth", F.row_number().over(W.partitionBy("__id", "__size", "__source").orderBy(F.lit(0))))
+        marked = marked.withColumn("__nth", F.row_number().over(W.partitionBy("__id", "__hash", "__source").orderBy(F.xxhash64("__mix_row"))))
         pairs = pairs & (F.col("__nth") == F.col("__mix_nth"))
     copies = marked.join(plan, pairs).withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     placed = copies.select("__mix_row", "__id", position(F.col("__copy")).alias("__at"))

@@ -9,20 +9,26 @@
    (1 - 0.8**2)**12 = 5e-6, whatever the nodes' sizes.  Deeper nodes, by which nodes of more than
    NODE_LIMIT documents branch, only serve to find the components of step 3; step 4 takes nodes whole.
 3. Nodes are compared exhaustively on sketches (one byte of every minwise token), twice.  First, in
-   branched nodes (those still too large at the last depth are dealt out in blocks), the member of a node that most others look like meets all of those, then the rest likewise: at most
-   one pair for each document and node.  These pairs are verified on the full sets (a leader and up to
+   branched nodes (those still too large at the last depth are dealt out in blocks), the member of a
+   node that most others look like meets all of those, then the rest likewise: at most one pair for
+   each document and node.  These pairs are verified on the full sets (a leader and up to
    CHUNK partners are shipped to one place), and make components.
-4. Then nodes are searched for members that look like a member of another component (four standard
+4. Then nodes are searched for members that look like a member of another component (MARGIN standard
    errors below the threshold count as alike).  In a node of more than NODE_LIMIT, all members outside
-   its largest component meet all members, in pairs of blocks; a node of one component has no work.  The full sets of these go to their nodes, where all are
-   compared exactly; only links that join components are returned.  So a group of n near copies costs
-   about n pairs and n rows a tree, and no link between different groups is lost.
+   its largest component meet all members, in pairs of blocks; a node of one component has no work.
+   The full sets of these go to their nodes, where all are compared exactly; only links that join
+   components are returned.  So a group of n near copies costs about n pairs and n rows a tree.
+
+A link of 0.8 between different groups is missed in all trees with probability 5e-6, and by its sketch
+(MARGIN standard errors) with about 1e-6; stronger links by less.
 
 Nothing is collected on the driver; intermediate tables are written to the checkpoint folder.
 
 Cases: null text has no words, and a text without words has an empty set: no links, kept.  Null
 doc_id: not linked, component null, kept.  Repeated rows (and rows that share a doc_id) give a row
-each, with the component of their doc_id.  Ties: components go by the least doc_id.  An empty table
+each, with the component of their doc_id: unequal texts under one doc_id are all searched, and belong
+together (doc_ids are below 2^62).  A node's full sets, of up to NODE_LIMIT texts, are held by one
+task, so that texts of some 100 MB and more want more memory.  Ties: components go by the least doc_id.  An empty table
 gives no rows; other columns are ignored by ``find`` and passed through by ``drop_near_duplicates``.
 """
 
@@ -38,11 +44,16 @@ from pyspark.sql import functions as F
 from flowgrid.llm.common import checkpointed
 from flowgrid.llm.components import components
 
+#: Standard errors below the threshold that still count as alike in a sketch.
+MARGIN = 5
+#: Where handles of further texts of one doc_id begin.
+HANDLES = 1 << 62
 TREES, LEVELS = 12, 8
 DEPTHS = (2, 4, 8)
 NODE_LIMIT = 1024
 CHUNK = 64
-_CACHE = 500_000
+#: Most words whose hashes a worker keeps, and the longest of them.
+_CACHE, _CACHED_BYTES = 200_000, 64
 _U64 = np.uint64
 #: Odd factors: of the words of a shingle, and of the minwise hashes.
 _FACTORS = np.random.default_rng(20240229).integers(0, 1 << 63, 16 + TREES * LEVELS, dtype=np.uint64) * _U64(2) + _U64(1)
@@ -54,9 +65,11 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= _CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= _CACHED_BYTES:
+            if len(self) >= _CACHE:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -101,14 +114,14 @@ def paths(tokens: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest, sketch, and the node keys of each tree."""
+    """doc_id, text_hash, n_shingles, digest, sketch, and the node keys of each tree."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for batch in batches:
             sizes, digests, sketches, keys = [], [], [], []
-            for text in batch.column(1).cast(pa.binary()):
+            for text in batch.column(2).cast(pa.binary()):
                 x = shingles(text.as_py() or b"", width)
                 sizes.append(len(x))
                 if not len(x):
@@ -119,12 +132,12 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 sketches.append((t >> _U64(24)).astype(np.uint8).tobytes())
                 keys.append(paths(t).tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.list_(pa.int64())))],
-                names=["doc_id", "n_shingles", "digest", "sketch", "keys"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.list_(pa.int64())))],
+                names=["doc_id", "text_hash", "n_shingles", "digest", "sketch", "keys"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, sketch binary, keys array<array<long>>"
+    return docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(cast(text as string)) text_hash", "cast(text as string) text").mapInArrow(
+        run, "doc_id long, text_hash long, n_shingles long, digest binary, sketch binary, keys array<array<long>>"
     )
 
 
@@ -251,11 +264,10 @@ def unsettled(members: DataFrame, least: float) -> DataFrame:
     return _keyed(members, "id", "comp", "sketch").mapInArrow(run, "node long, block long, id long, comp long")
 
 
-def _shipped(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """wanted (any long and int columns, id) with the full shingle set of each id's text."""
+def _shipped(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """wanted (any long and int columns, id) with the full shingle set of each id's text; texts has handle and text."""
     names = [c for c in wanted.columns if c != "id"] + ["id"]
-    texts = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
-    rows = wanted.join(texts, F.col("id") == F.col("doc_id")).select(*names, "text")
+    rows = wanted.join(texts, F.col("id") == F.col("handle")).select(*names, "text")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +279,7 @@ def _shipped(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(sets, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", items binary")
 
 
-def settled(open_: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def settled(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) that join components, by exhaustive comparison of the full sets in each node.
 
     One member at a time is intersected with all others of its node; of the links found, those are
@@ -297,10 +309,10 @@ def settled(open_: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return _keyed(_shipped(open_, docs, width), "id", "comp", "items").mapInArrow(run, "a long, b long").distinct()
+    return _keyed(_shipped(open_, texts, width), "id", "comp", "items").mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
     placed = pairs.join(sizes.withColumnRenamed("a", "lead"), F.col("a") == F.col("lead")).select(
@@ -326,34 +338,64 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                             out.append((a, i))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
-    full = _shipped(wanted, docs, width).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
+    full = _shipped(wanted, texts, width).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
     return full.select("a", "chunk", "role", "id", "items").mapInArrow(links, "a long, b long").distinct()
 
 
+def _further(usable: DataFrame) -> DataFrame | None:
+    """(f_id, f_hash, f_handle) of the texts whose doc_id has another text of another set; None if there are none.
+
+    The text of the least digest goes by its doc_id, the others by a hash at or above HANDLES.
+    """
+    sets = usable.groupBy(F.col("doc_id").alias("f_id")).agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high")
+    several = checkpointed(sets)
+    if several.isEmpty():
+        return None
+    rows = usable.join(several, (F.col("doc_id") == F.col("f_id")) & (F.col("digest") != F.col("low")))
+    handle = F.xxhash64("doc_id", "digest").bitwiseAND(F.lit(HANDLES - 1)).bitwiseOR(F.lit(HANDLES))
+    return checkpointed(rows.select("f_id", F.col("text_hash").alias("f_hash"), handle.alias("f_handle")).distinct())
+
+
+def _handled(rows: DataFrame, further: DataFrame | None) -> DataFrame:
+    """rows (doc_id, text_hash) with their handle: the doc_id, but for the further texts of one doc_id."""
+    if further is None:
+        return rows.withColumn("handle", F.col("doc_id"))
+    known = rows.join(further, (F.col("doc_id") == F.col("f_id")) & (F.col("text_hash") == F.col("f_hash")), "left")
+    return known.withColumn("handle", F.coalesce("f_handle", "doc_id")).drop("f_id", "f_hash", "f_handle")
+
+
 def find(docs: DataFrame, *, width: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
     signed = checkpointed(signatures(docs, width))
-    usable = signed.where("n_shingles > 0 and doc_id is not null")
-    least = usable.groupBy("digest").agg(F.min("doc_id").alias("id"))
+    further = _further(signed.where("n_shingles > 0 and doc_id is not null"))
+    usable = _handled(signed.where("n_shingles > 0 and doc_id is not null"), further)
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").withColumn("text_hash", F.xxhash64("text"))
+    texts = _handled(texts, further).select("handle", "text")
+    least = usable.groupBy("digest").agg(F.min("handle").alias("id"))
     by_class = least.withColumnRenamed("digest", "d")
-    member = checkpointed(usable.join(by_class, F.col("digest") == F.col("d")).select("doc_id", "id"))
-    one = usable.join(by_class, (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("id")))
-    classes = one.groupBy("id").agg(F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))  # repeated rows are equal
+    member = checkpointed(usable.join(by_class, F.col("digest") == F.col("d")).select("handle", "id"))
+    one = usable.join(by_class, (F.col("digest") == F.col("d")) & (F.col("handle") == F.col("id")))
+    classes = one.groupBy("id").agg(F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))  # rows of one handle are equal
     branched, whole = nodes(classes)
     error = (percent / 100 * (1 - percent / 100) / (TREES * LEVELS)) ** 0.5
     first = leaders(branched, percent / 100 - 1.5 * error)
-    links = checkpointed(verified(checkpointed(first), docs, width, percent))
+    links = checkpointed(verified(checkpointed(first), texts, width, percent))
+    if further is not None:  # the texts of one doc_id belong together
+        of = lambda k: member.select(F.col("handle").alias(f"h{k}"), F.col("id").alias("ab"[k]))
+        same = further.join(of(0), F.col("f_id") == F.col("h0")).join(of(1), F.col("f_handle") == F.col("h1"))
+        links = checkpointed(links.unionByName(same.select("a", "b").distinct()))
     known = components(links)
     labelled = whole.join(known.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select(
         "node", "n", "id", "sketch", F.coalesce("component", "id").alias("comp")
     )
-    open_ = checkpointed(unsettled(faced(labelled), percent / 100 - 4 * error))
+    open_ = checkpointed(unsettled(faced(labelled), percent / 100 - MARGIN * error))
     if not open_.isEmpty():
-        known = components(links.unionByName(settled(open_, docs, width, percent)))
-    grouped = member.join(known.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").groupBy("doc_id").agg(
+        known = components(links.unionByName(settled(open_, texts, width, percent)))
+    grouped = member.join(known.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").groupBy("handle").agg(
         F.min(F.coalesce("component", "id")).alias("component")
     )
-    out = signed.select("doc_id", "n_shingles").join(grouped.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"), "left")
+    rows = _handled(signed.select("doc_id", "text_hash", "n_shingles"), further)
+    out = rows.join(grouped.withColumnRenamed("handle", "h"), F.col("handle") == F.col("h"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

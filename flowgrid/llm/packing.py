@@ -11,8 +11,9 @@ No shuffle: a task packs its own input, holding one block.  A lost task is simpl
 result depends only on its partition's rows and number.
 
 Cases: null text counts as empty (its one id is the end id); empty documents are packed as that
-one id; repeated rows are packed as often as they occur; null doc_id is passed through; an empty
-table gives no rows; other columns are ignored.
+one id; repeated rows are packed as often as they occur; null doc_id is passed through; a very long
+text is held by one task with its ids, several times its size; an empty table gives no rows; other
+columns are ignored.  Each task ends with at most 11 sequences of a power of two below the capacity.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Distinct strings whose ids a Python worker keeps at once.
-CACHE = 600_000
+#: Bytes of strings and ids that a Python worker keeps at once, and what an entry takes beside them.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 200
 
 
 def word_encoder(tokenizer_path: str) -> Callable[[list[bytes]], list[bytes]]:
@@ -74,8 +75,10 @@ def word_encoder(tokenizer_path: str) -> Callable[[list[bytes]], list[bytes]]:
     tokenize = tokenizer.model.tokenize
     strings: dict[bytes, bytes] = {}
     pieces: dict[str, bytes] = {}
+    kept = 0
 
     def learn(new: list[bytes]) -> None:
+        nonlocal kept
         for w in new:
             s = w.decode()
             if not usual(s) or special and special(s):
@@ -86,15 +89,18 @@ def word_encoder(tokenizer_path: str) -> Callable[[list[bytes]], list[bytes]]:
                 got = pieces.get(x)
                 if got is None:
                     got = pieces[x] = as_ids([t.id for t in tokenize(x if x.isascii() else x.translate(as_bytes))])
+                    kept += len(x) + len(got) + ENTRY_BYTES
                 ids += got
             strings[w] = ids
+            kept += len(w) + len(ids) + ENTRY_BYTES
 
     def encode(texts: list[bytes]) -> list[bytes]:
+        nonlocal kept
         words = [t.split() for t in texts]  # bytes: at ASCII white space alone
         every = {w for ws in words for w in ws}
-        for cache in (strings, pieces):
-            if len(cache) > CACHE:
-                cache.clear()
+        if kept > CACHE_BYTES:
+            strings.clear(), pieces.clear()
+            kept = 0
         learn([w for w in every if w not in strings])
         return [b"".join(map(strings.__getitem__, ws)) for ws in words]
 

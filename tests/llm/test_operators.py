@@ -242,6 +242,17 @@ def test_mixing_applied(docs, rows):
         assert copies[i] == (r.passes + (2 * r.rest >= max(r["size"], 1)) if r["size"] else 0)
 
 
+def test_mixing_of_rows_with_one_id(spark):
+    """Rows of equal doc_id, size and source but other texts or columns: each is taken as often on every run."""
+    rng = random.Random(14)
+    data = [(i // 3, prose(rng, 10), "en", f"s{i % 2}") for i in range(60)] + [(None, prose(rng, 10), "en", "s0") for _ in range(10)]
+    data += [(99, data[0][1], g, "s1") for g in ("en", "de", "fr")]
+    frame = spark.createDataFrame(data, SCHEMA).withColumns({"place": F.lit("x"), "__id": F.lit(1)})
+    runs = [sorted(map(str, mixing.apply_mix(frame.repartition(k)).collect())) for k in (1, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) > 0
+    assert 0 <= 10 * len(data) - sum(r.taken for r in mixing.mix(frame).collect()) < 2  # targets are rounded down, by source
+
+
 # 5
 
 PAGE = """<!DOCTYPE html><html><head><title>T{n}</title><style>p{{x:1}}</style><script>var t="</p>";</script></head><body>
@@ -647,6 +658,16 @@ def test_near_duplicates_of_large_nodes(spark, monkeypatch, limit):
     assert {i for i, c in got.items() if c != 0} == set(range(9000, 9020)) and all(got[i] == i for i in range(9000, 9020))
 
 
+def test_near_duplicates_under_one_id(spark):
+    """Unequal texts under one doc_id are all searched, and belong together."""
+    rng = random.Random(13)
+    text = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(40)) for _ in range(6)]
+    near = lambda t: t + " more"
+    data = [(5, text[0]), (5, text[1]), (5, text[1]), (8, near(text[1])), (7, near(text[0])), (9, text[2]), (9, near(text[3])), (3, text[3]), (6, text[4]), (6, ""), (4, text[5])]
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.find(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {(5, 5, True), (8, 5, False), (7, 5, False), (9, 3, False), (3, 3, True), (6, 6, True), (4, 4, True)}
+
+
 # 10
 
 
