@@ -12,7 +12,8 @@ enough is a run of its own, which reports the stretch of its windows that reach
 Every row is worked on by itself: no shuffle, no broadcast, no Python.
 
 Cases: null text counts as empty, which has no spans; repeated rows get equal results; null doc_id is
-passed through; an empty table gives no rows; columns other than doc_id and text are ignored.
+passed through; a very long text is held by one task with its spans, in time about in proportion to
+its length; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -39,24 +40,47 @@ ALLOWED = (
     "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     "(?i)example|changeme|placeholder|dummy|x{6}",
 )
+#: Spans gathered at a time.
+STRETCH = 256
 _SPAN = "array<struct<start:int,rank:int,end:int,word:string>>"
 
 
-def located(text: Column, pattern: str, rank: int, value_group: int = 0) -> Column:
+def scanned(rows: Column, step, empty: Column, whole: bool) -> Column:
+    """What step(pos, row) = (new pos, entry) makes of rows from 0 on: struct(pos, found).
+
+    In whole texts entries are gathered STRETCH at a time, as appending to one array copies it for each.
+    """
+    acc = lambda pos, found: F.struct(pos.alias("pos"), found.alias("found"))
+
+    def one(a: Column, x: Column) -> Column:
+        pos, entry = step(a["pos"], x)
+        return acc(pos, F.array_append(a["found"], entry))
+
+    part = lambda pos, k: F.aggregate(F.slice(rows, k * STRETCH + 1, STRETCH), acc(pos, empty), one)
+    joined = lambda a, p: acc(p["pos"], F.array_append(a["found"], p["found"]))
+    several = lambda a, k: F.get(F.transform(F.array(part(a["pos"], k)), lambda p: joined(a, p)), F.lit(0))
+    if not whole:
+        return F.aggregate(rows, acc(F.lit(0), empty), one)
+    stretches = F.sequence(F.lit(0), F.floor(F.size(rows) / STRETCH).cast("int"))
+    none = F.filter(F.array(empty), lambda _: F.lit(False))
+    return F.aggregate(stretches, acc(F.lit(0), none), several, lambda a: acc(a["pos"], F.flatten(a["found"])))
+
+
+def located(text: Column, pattern: str, rank: int, value_group: int = 0, *, whole: bool = False) -> Column:
     """Spans (start, rank, end, word) of a pattern's leftmost matches; word is the match or a group of it."""
-    pieces, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    word = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else whole
+    pieces, match = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    word = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else match
     empty = F.expr(f"cast(array() as {_SPAN})")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["piece"])
-        end = start + F.length(x["whole"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["word"].alias("word"))
-        return F.struct(end.alias("pos"), F.array_append(acc["spans"], span).alias("spans"))
+    def step(pos: Column, x: Column) -> tuple[Column, Column]:
+        start = pos + F.length(x["piece"])
+        end = start + F.length(x["match"])
+        return end, F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["word"].alias("word"))
 
-    rows = F.arrays_zip(pieces.alias("piece"), whole.alias("whole"), word.alias("word"))
-    rows = F.filter(rows, lambda x: x["whole"].isNotNull())  # what stands behind the last match
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("pos"), empty.alias("spans")), step, lambda a: a["spans"])
+    rows = F.arrays_zip(pieces.alias("piece"), match.alias("match"), word.alias("word"))
+    rows = F.filter(rows, lambda x: x["match"].isNotNull())  # what stands behind the last match
+    found = lambda r: scanned(r, step, empty, whole)["found"]
+    found = F.get(F.transform(F.array(rows), found), F.lit(0)) if whole else found(rows)  # the rows are made once
     return F.when(text.rlike(pattern), found).otherwise(empty)
 
 
@@ -99,22 +123,24 @@ def dense_stretch(word: Column, window: int, least: float) -> Column:
     return F.get(F.transform(F.array(codes), run), F.lit(0))  # the codes are made once
 
 
-def masked(text: Column, spans: Column) -> Column:
+def masked(text: Column, spans: Column, *, whole: bool = False) -> Column:
     """text with the stretches of its spans blanked out."""
 
-    def step(acc: Column, s: Column) -> Column:
-        before = text.substr(acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0)))
-        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["pos"], s["start"]), F.lit(0)))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.array_append(acc["parts"], F.concat(before, blank)).alias("parts"))
+    def step(pos: Column, s: Column) -> tuple[Column, Column]:
+        before = text.substr(pos + 1, F.greatest(s["start"] - pos, F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(pos, s["start"]), F.lit(0)))
+        return F.greatest(pos, s["end"]), F.concat(before, blank)
 
-    start = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<string>)").alias("parts"))
-    rest = lambda a: F.concat(F.array_join(a["parts"], ""), text.substr(a["pos"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), start, step, rest)).otherwise(text)
+    empty = F.expr("cast(array() as array<string>)")
+    rest = lambda a: F.concat(F.array_join(a["found"], ""), text.substr(a["pos"] + 1, F.length(text)))
+    done = lambda r: F.get(F.transform(F.array(scanned(r, step, empty, whole)), rest), F.lit(0))
+    done = F.get(F.transform(F.array(F.array_sort(spans)), done), F.lit(0)) if whole else done(F.array_sort(spans))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
-def runs(text: Column) -> Column:
+def runs(text: Column, *, whole: bool = False) -> Column:
     """Spans of candidate strings."""
-    return F.get(F.transform(F.array(text), lambda t: located(t, CANDIDATE, KINDS.index("entropy"))), F.lit(0))  # the text is made once
+    return F.get(F.transform(F.array(text), lambda t: located(t, CANDIDATE, KINDS.index("entropy"), whole=whole)), F.lit(0))  # the text is made once
 
 
 def _rests(x: Column, pattern: str) -> Column:
@@ -127,7 +153,7 @@ def _rests(x: Column, pattern: str) -> Column:
 
 def entropy_spans(text: Column, base: Column, allowed: tuple[str, ...] = ALLOWED) -> Column:
     """Spans of dense stretches in candidate strings, outside of what allow-list patterns and base spans cover."""
-    free = runs(masked(text, base))
+    free = runs(masked(text, base, whole=True), whole=True)
     cut = lambda p: lambda x: F.when(x["word"].rlike(p), _rests(x, p)).otherwise(F.array(x))
     for pattern in allowed:
         free = F.flatten(F.transform(free, cut(pattern)))
@@ -160,8 +186,8 @@ def scan(docs: DataFrame, *, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """doc_id, counts of base kinds, sha256 of the base spans, and all spans."""
     text = F.col("text")
     read = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    assign = F.filter(located(text, ASSIGN, 0, 2), lambda s: F.length(s["word"]) >= MIN_VALUE)
-    base = read.select("doc_id", "text", F.concat(assign, located(text, ACCESS, 1), located(text, HEX, 2)).alias("base"))
+    assign = F.filter(located(text, ASSIGN, 0, 2, whole=True), lambda s: F.length(s["word"]) >= MIN_VALUE)
+    base = read.select("doc_id", "text", F.concat(assign, located(text, ACCESS, 1, whole=True), located(text, HEX, 2, whole=True)).alias("base"))
     spans = base.select("doc_id", "base", F.concat(F.col("base"), entropy_spans(text, F.col("base"), allowed)).alias("spans"))
     count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
     return spans.select(

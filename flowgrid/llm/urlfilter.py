@@ -1,7 +1,8 @@
 """URL filters by a temporal list join, in DataFrame expressions alone.
 
 A list is a table of dated events (kind, pattern, action add or remove, day, category).  A pattern's
-events become validity intervals: from an add up to the next event of the same kind and pattern.
+events become validity intervals, category by category: from an add up to the next event of the same
+kind, pattern and category; a removal without a category ends all categories of its pattern.
 A capture (url, day fetched) is looked up under each key that a list may name it by: its host and the
 host's parent domains, and its host with each leading path directory.  The as-of join asks,
 for each key, for the one interval that holds on the capture's day.
@@ -12,8 +13,11 @@ equi-join on (host, directory, day) that may be split where it is skewed.
 
 Cases: a null or empty url, or one without a host, has no keys and is not blocked; a null day isn't
 blocked either.  Intervals hold from their first day on and up to the day before their last; of events
-of one pattern on one day, the removal counts.  Hosts compare in lower case without user or port.
-Repeated rows get equal results; an empty table or list gives none; other columns pass through.
+of one pattern and category on one day, the removal counts; of several entries that hold, the longest
+pattern, then the greatest kind, pattern and category is named.  Hosts compare in lower case without user or port.
+Repeated rows get equal results; an empty table or list gives none; a path of n directories has n keys,
+each as long as its part of the path.  Other columns pass through, but for blocked, category, list_kind
+and list_pattern, which are replaced.
 """
 
 from __future__ import annotations
@@ -34,11 +38,15 @@ def path_of(url: Column) -> Column:
 
 def intervals(events: DataFrame) -> DataFrame:
     """(kind, pattern, category, start, end): a pattern is listed from start up to the day before end."""
-    removal_wins = F.max(F.struct((F.col("action") == "remove").alias("gone"), "category")).alias("e")
-    daily = events.groupBy("kind", "pattern", "day").agg(removal_wins)
-    later = F.lead("day").over(W.partitionBy("kind", "pattern").orderBy("day"))
-    spans = daily.withColumn("end", later).where(~F.col("e.gone"))
-    return spans.select("kind", "pattern", "e.category", F.col("day").alias("start"), "end")
+    gone = F.col("action") == "remove"
+    named = events.where(~gone | F.col("category").isNotNull()).select("kind", "pattern", "category", "day", gone.alias("gone"))
+    known = named.where(~F.col("gone")).select("kind", "pattern", "category").distinct()
+    of = lambda c: F.col(f"e.{c}") == F.col(f"k.{c}")
+    every = events.where(gone & F.col("category").isNull()).alias("e").join(known.alias("k"), of("kind") & of("pattern")).select("k.kind", "k.pattern", "k.category", "e.day", F.lit(True).alias("gone"))
+    daily = named.unionByName(every).groupBy("kind", "pattern", "category", "day").agg(F.max("gone").alias("gone"))
+    later = F.lead("day").over(W.partitionBy("kind", "pattern", "category").orderBy("day"))
+    spans = daily.withColumn("end", later).where(~F.col("gone"))
+    return spans.select("kind", "pattern", "category", F.col("day").alias("start"), "end")
 
 
 def list_keys(host: Column, path: Column) -> Column:

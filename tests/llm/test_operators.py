@@ -119,6 +119,38 @@ def test_short_and_joined_secrets(spark):
     assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
 
 
+def plain_entropy_spans(word):
+    """The dense stretch of one candidate of digits and letters of both cases, by counting each window anew."""
+    window, least = (16, 3.0) if re.fullmatch("[0-9a-fA-F]+", word) else (24, 4.0)
+    if window > len(word):
+        window, least = len(word), least * np.log2(len(word)) / np.log2(window)
+    dense = [i for i, h in enumerate(entropies(word, window)) if h >= least - 1e-12]
+    return (dense[0], dense[-1] + window) if dense else None
+
+
+def test_entropy_of_random_strings(spark):
+    rng = random.Random(15)
+    alphabets = ["0123456789ABCDEF", "ABCDEFGHijklmnop0123456789", "aB3", "QWERTYUIOPasdfghjkl1234567890+/"]
+    data = [("Z9" + "".join(rng.choice(alphabets[n % 4]) for _ in range(rng.randint(14, 38))))[2 * (n % 4 == 0) :] for n in range(240)]
+    data = [w if re.search("[0-9]", w) and re.search("[A-Za-z]", w) else w + "A0" for w in data]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")).collect()}
+    for i, w in enumerate(data):
+        if re.search("[0-9a-f]{16,}|AKIA", w):
+            continue
+        want = plain_entropy_spans(w) if len(w) >= 20 else None
+        assert got[i] == (f"entropy:{want[0]}:{want[1]}" if want else ""), w
+
+
+def test_secrets_of_many_spans(spark, monkeypatch):
+    """More spans than are gathered at a time, in a long text."""
+    monkeypatch.setattr(secrets, "STRETCH", 4)
+    text = " ".join(f"é token={'x' * 12}{k:04d} {k:016x} Zx9Kq2Lm8Vb4Nn7Wp3Rt6Yc{k}" for k in range(37))
+    r = secrets.scan(spark.createDataFrame([(1, text), (2, text * 50)], "doc_id long, text string")).orderBy("doc_id").collect()
+    for row, t in zip(r, (text, text * 50), strict=True):
+        want = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base_spans(t))
+        assert row.base_sha256 == hashlib.sha256(want.encode()).hexdigest() and row.spans.count("entropy") == 37 * (1 if t is text else 50)
+
+
 # 2
 
 
@@ -200,6 +232,20 @@ def test_urls(spark):
     assert {r.page_id: r.category for r in rows if r.blocked} == {2: "malware", 3: "malware", 5: "adult", 6: "adult", 7: "ads"}
 
 
+def test_url_categories(spark):
+    """Entries of two categories for one pattern hold side by side; a removal ends its own, or all without a category."""
+    events = [
+        ("domain", "x.com", "add", "2024-01-01", "adult"), ("domain", "x.com", "add", "2024-04-01", "malware"), ("domain", "x.com", "remove", "2024-05-01", "malware"),
+        ("domain", "x.com", "remove", "2024-06-01", None), ("domain", "x.com", "add", "2024-07-01", "malware"),
+    ]
+    list_ = spark.createDataFrame(events, "kind string, pattern string, action string, day string, category string").withColumn("day", F.to_date("day"))
+    days = {"2023-12-31": None, "2024-01-01": "adult", "2024-04-10": "malware", "2024-05-02": "adult", "2024-06-01": None, "2024-07-02": "malware"}
+    captures = spark.createDataFrame([("http://x.com/", d) for d in days], "url string, day string").withColumn("day", F.to_date("day"))
+    assert {str(r.day): r.category for r in urlfilter.evaluate(captures, list_).collect()} == days
+    assert urlfilter.evaluate(captures.limit(0), list_).count() == 0
+    assert {r.blocked for r in urlfilter.evaluate(captures, list_.limit(0)).collect()} == {False}
+
+
 # 4
 
 
