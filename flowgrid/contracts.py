@@ -139,7 +139,7 @@ OBSERVATIONS = Contract("observation", {"observation_id": text(unique=True), "so
 _DISTANCE = real(0, nullable=True)
 CELLS = Contract(
     "cells",
-    {"h3_id": text(unique=True, length=(15, 15)), "lon_centroid": LON, "lat_centroid": LAT}
+    {"cell": text(unique=True, length=(15, 15)), "lon_centroid": LON, "lat_centroid": LAT}
     | {c: _DISTANCE for c in ("train_reach_min", "climb_min_m", "yoga_min_m", "hospital_min_m", "pharmacy_density_per_km2", "green_min_m", "sea_min_m", "biodiversity_obs_density", "industry_density_per_km2", "eprtr_facility_min_m", "no2_ugm3", "pm25_ugm3", "viirs_radiance", "mitma_inflow_daily", "mitma_outflow_daily")}
     | {c: whole(0, nullable=True) for c in ("trains_per_day_nearest", "trains_to_bcn_nearest")}
     | {c: Field("boolean", nullable=True) for c in ("natura2000_within_5km", "motorway_within_500m")}

@@ -27,7 +27,7 @@ DAY_PARTS = (("morning", 5, 10), ("midday", 11, 15), ("evening", 16, 19))
 WIDE_BANDS = {"am_peak_share": ((7, 9),), "pm_peak_share": ((17, 20),), "midday_share": ((11, 14),), "night_share": ((0, 5), (22, 23))}
 WIDE_PARTS = (("morning", 6, 10), ("midday", 11, 15), ("evening", 16, 21))
 SEGMENTS = ("income", "age", "sex")
-CUBE_KEYS = ("day", "origin", "dest", "band", "act_o", "act_d", "income", "age", "sex", "date", "weekday", "is_weekend")
+CUBE_KEYS = ("day", "origin", "dest", "band", "act_o", "act_d", "income", "age", "sex")
 
 
 def guarded(num: Column, den: Column) -> Column:
@@ -71,15 +71,18 @@ def day_window(first: str | None, last: str | None) -> Column:
 
 def silver(cube: DataFrame) -> DataFrame:
     """Dates and day types added; unknown segments become a bucket 'NA' and are never dropped."""
+    return cube.withColumns(_calendar() | {"support": F.lit(1), "season": season_of(F.col("day"))} | {s: F.coalesce(F.col(s), F.lit("NA")) for s in SEGMENTS})
+
+
+def _calendar() -> dict[str, Column]:
     date = F.to_date("day", "yyyyMMdd")
-    return cube.withColumns(
-        {"date": date, "weekday": F.dayofweek(date), "is_weekend": F.dayofweek(date).isin(1, 7), "support": F.lit(1), "season": season_of(F.col("day"))}
-        | {s: F.coalesce(F.col(s), F.lit("NA")) for s in SEGMENTS}
-    )
+    return {"date": date, "weekday": F.dayofweek(date), "is_weekend": F.dayofweek(date).isin(1, 7)}
 
 
 def daily_rollup(od: DataFrame) -> DataFrame:
-    return od.groupBy(*CUBE_KEYS).agg(*[F.sum(c).alias(c) for c in ("trips", "trip_km", "support")])
+    """Sums by day, ends and segments; what follows from the day is no key, but derived again."""
+    sums = od.groupBy(*CUBE_KEYS).agg(*[F.sum(c).alias(c) for c in ("trips", "trip_km", "support")])
+    return sums.withColumns(_calendar()).select(*CUBE_KEYS, "date", "weekday", "is_weekend", "trips", "trip_km", "support")
 
 
 # Disaggregation
@@ -122,35 +125,41 @@ def closure(xwalk: DataFrame) -> DataFrame:
 
 def centroid_totals(od: DataFrame, xwalk: DataFrame) -> DataFrame:
     """The naive attribution kept for comparison: each zone's window totals, whole, at every cell of it."""
-    into = od.groupBy(F.col("dest").alias("zone")).agg(F.sum("trips").alias("inflow"))
-    out = od.groupBy(F.col("origin").alias("zone")).agg(F.sum("trips").alias("outflow"))
-    return xwalk.join(into, "zone", "left").join(out, "zone", "left").select("cell", "zone", "inflow", "outflow")
+    zones = both_ways(od.groupBy("origin", "dest").agg(F.sum("trips").alias("trips")), {"inflow": "trips"}, {"outflow": "trips"})
+    return xwalk.join(zones, "zone", "left").select("cell", "zone", "inflow", "outflow")
 
 
 # Flows in and out
 
 
-def _both_ways(od: DataFrame, value: Column, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    into = od.groupBy(F.col("dest").alias("zone"), *keys).agg(value.alias("inflow"))
-    out = od.groupBy(F.col("origin").alias("zone"), *keys).agg(value.alias("outflow"))
-    return into, out
+def both_ways(pairs: DataFrame, into: dict[str, str], out: dict[str, str], keys: Sequence[str] = (), also: Sequence[Column] = ()) -> DataFrame:
+    """(zone, keys, into..., out...): sums of pairs' columns by destination (into) and by origin (out), null where a zone has none.
+
+    Each pair is read once, and counts at both its ends.
+    """
+    none = lambda names: [F.lit(None).cast("double").alias(k) for k in names]
+    arrive = F.struct(F.col("dest").alias("zone"), *[F.col(c).cast("double").alias(k) for k, c in into.items()], *none(out))
+    leave = F.struct(F.col("origin").alias("zone"), *none(into), *[F.col(c).cast("double").alias(k) for k, c in out.items()])
+    ends = pairs.select(*keys, *also, F.inline(F.array(arrive, leave)))
+    return ends.groupBy("zone", *keys).agg(*[F.sum(k).alias(k) for k in (*into, *out)], *[F.collect_set(a).alias(f"{a}s") for a in also])
 
 
 def inflow_outflow(od: DataFrame, xwalk: DataFrame) -> DataFrame:
     """Trips a day into and out of each cell, over all days of the data, their quotient and its balance in logs."""
-    days = od.agg(F.greatest(F.countDistinct("day"), F.lit(1)).alias("days"))
-    into, out = _both_ways(od, F.sum("trips"))
-    zones = into.join(out, "zone", "full").na.fill(0.0).join(F.broadcast(days))  # one row
-    per_day = zones.select("zone", *[(F.col(c) / F.col("days")).alias(c) for c in ("inflow", "outflow")])
+    pairs = od.groupBy("origin", "dest", "day").agg(F.sum("trips").alias("trips"))
+    zones = both_ways(pairs, {"inflow": "trips"}, {"outflow": "trips"}, also=["day"]).na.fill(0.0, ["inflow", "outflow"])
+    # The window is over zones, each with its set of days.
+    days = F.size(F.array_distinct(F.flatten(F.collect_list("days").over(W.partitionBy()))))
+    per_day = zones.withColumn("n", F.greatest(days, F.lit(1))).select("zone", *[(F.col(c) / F.col("n")).alias(c) for c in ("inflow", "outflow")])
     cells = spread(per_day, xwalk, ["inflow", "outflow"])
     return cells.withColumns({"through": guarded(F.col("outflow"), F.col("inflow")), "log_through": log_balance(F.col("outflow"), F.col("inflow"))})
 
 
 def inflow_outflow_mean(od: DataFrame, xwalk: DataFrame) -> DataFrame:
     """The variant that averages the totals of the days on which a zone occurs."""
-    into, out = _both_ways(od, F.sum("trips"), ["day"])
-    mean = lambda df, c: df.groupBy("zone").agg(F.avg(c).alias(c))
-    zones = mean(into, "inflow").join(mean(out, "outflow"), "zone", "full").na.fill(0.0)
+    pairs = od.groupBy("origin", "dest", "day").agg(F.sum("trips").alias("trips"))
+    daily = both_ways(pairs, {"inflow": "trips"}, {"outflow": "trips"}, ["day"])
+    zones = daily.groupBy("zone").agg(F.avg("inflow").alias("inflow"), F.avg("outflow").alias("outflow")).na.fill(0.0)
     cells = spread(zones, xwalk, ["inflow", "outflow"])
     return cells.withColumn("log_through", F.log((F.col("outflow") + 1) / (F.col("inflow") + 1)))
 
@@ -181,6 +190,21 @@ def rhythm(shares: DataFrame, keys: Sequence[str] = (), bands=None, parts=DAY_PA
     return out.withColumn("peak_part", day_part(F.col("peak_hour"), parts))
 
 
+def hourly_rhythm(od: DataFrame, xwalk: DataFrame, keys: Sequence[str] = (), bands=None, parts=DAY_PARTS, places: int = 9) -> DataFrame:
+    """The same for cells from a cube: one row with 24 sums a zone meets the crosswalk, and one a cell comes out.
+
+    Flows are compared to that many places, so that a peak doesn't hang on the order of a sum.
+    """
+    hours = [f"h{h}" for h in range(24)]
+    zones = od.groupBy(F.col("dest").alias("zone"), *keys).agg(*[sum_if(F.col("hour") == h).alias(f"h{h}") for h in range(24)])
+    cells = spread(zones, xwalk, hours, keys)
+    day = sum((F.col(h) for h in hours[1:]), F.col(hours[0]))
+    inside = lambda spans: sum((F.col(f"h{h}") for a, b in spans for h in range(a, b + 1)), F.lit(0.0))
+    peak = F.array_max(F.array(*[F.struct(F.round(f"h{h}", places).alias("flow"), F.lit(-h).alias("back")) for h in range(24)]))
+    out = cells.select("cell", *keys, *[guarded(inside(s), day).alias(k) for k, s in (bands or HOUR_BANDS).items()], (-peak["back"]).alias("peak_hour"))
+    return out.withColumn("peak_part", day_part(F.col("peak_hour"), parts))
+
+
 def hour_vector(shares: DataFrame) -> DataFrame:
     """One row a cell: 24 shares in order of the hour, zero where none."""
     entries = F.map_from_entries(F.collect_list(F.struct("hour", "share")))  # 24 at most
@@ -192,12 +216,8 @@ def hour_vector(shares: DataFrame) -> DataFrame:
 # Weekends
 
 
-def weekend_hotspots(od: DataFrame, xwalk: DataFrame, *, keys: Sequence[str] = (), min_support: float = 50, leisure_offset: float = 0.5) -> DataFrame:
-    """How much more a cell draws on a weekend day than on a weekday, weighted by its leisure trips.
-
-    One pass over the cube gives daily totals by day type and their activities; means are over the days
-    with data.  The score is null under the least support.
-    """
+def _weekends(od: DataFrame, xwalk: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(cell, keys, ratios, support_n, weekday_trips): one pass over the cube gives daily totals by day type and their activities."""
     zone = F.col("dest").alias("zone")
     daily = od.groupBy(zone, *keys, "day", "is_weekend").agg(
         F.sum("trips").alias("v"),
@@ -209,20 +229,25 @@ def weekend_hotspots(od: DataFrame, xwalk: DataFrame, *, keys: Sequence[str] = (
     zones = daily.groupBy("zone", *keys).agg(
         mean_on(True).alias("weekend_mean"), mean_on(False).alias("weekday_mean"), F.sum("support").cast("double").alias("support_n"),
         F.sum("leisure").alias("leisure"), F.sum("commute").alias("commute"), F.sum("v").alias("total"),
+        F.sum(F.when(~F.col("is_weekend"), F.col("v"))).alias("weekday_trips"),
     )
     ratios = {"weekend_ratio": ("weekend_mean", "weekday_mean"), "leisure_share": ("leisure", "total"), "commute_share": ("commute", "total")}
-    cells = spread_ratios(zones, xwalk, ratios, keys, ["support_n"])
+    return spread_ratios(zones, xwalk, ratios, keys, ["support_n", "weekday_trips"]).select("cell", *keys, "support_n", "weekday_trips", *ratios)
+
+
+def weekend_hotspots(od: DataFrame, xwalk: DataFrame, *, keys: Sequence[str] = (), min_support: float = 50, leisure_offset: float = 0.5) -> DataFrame:
+    """How much more a cell draws on a weekend day than on a weekday, weighted by its leisure trips.
+
+    Means are over the days with data.  The score is null under the least support.
+    """
     score = F.when(F.col("support_n") >= min_support, F.col("weekend_ratio") * (leisure_offset + F.col("leisure_share")))
-    return cells.select("cell", *keys, "support_n", *ratios, score.alias("hotspot_score"))
+    return _weekends(od, xwalk, keys).withColumn("hotspot_score", score).drop("weekday_trips")
 
 
 def weekend_hotspots_gated(od: DataFrame, xwalk: DataFrame, *, min_weekday: float = 100) -> DataFrame:
     """The variant gated on weekday trips, with full weight on the ratio."""
-    weekday = od.where(~F.col("is_weekend")).groupBy(F.col("dest").alias("zone")).agg(F.sum("trips").alias("weekday_trips"))
-    gate = spread(weekday, xwalk, ["weekday_trips"])
-    cells = weekend_hotspots(od, xwalk, min_support=float("-inf")).join(gate, "cell", "left")
     score = F.when(F.col("weekday_trips") >= min_weekday, F.col("weekend_ratio") * (1 + F.coalesce("leisure_share", F.lit(0.0))))
-    return cells.select("cell", "weekend_ratio", "leisure_share", "weekday_trips", score.alias("hotspot_score"))
+    return _weekends(od, xwalk).select("cell", "weekend_ratio", "leisure_share", "weekday_trips", score.alias("hotspot_score"))
 
 
 def seasonal_wide(frame: DataFrame, measures: Sequence[str], first: str = "feb", last: str = "jun") -> DataFrame:
@@ -279,16 +304,21 @@ TYPOLOGY = {"intra_share": ("intra", "tot_in"), "long_share": ("long", "tot_in")
 POLES = {"intra_share": "self-contained", "leisure_share": "leisure-magnet", "commute_share": "commuter-corridor", "long_share": "transit-corridor"}
 
 
-def typology_indices(od: DataFrame, xwalk: DataFrame, long_bands: Sequence[str] = LONG_BANDS) -> DataFrame:
-    into = od.groupBy(F.col("dest").alias("zone")).agg(
-        F.sum("trips").alias("tot_in"),
+def typology_parts(od: DataFrame, long_bands: Sequence[str] = LONG_BANDS) -> DataFrame:
+    """(zone, tot_in, intra, long, leisure, commute, tot_out), in one pass over the cube."""
+    pairs = od.groupBy("origin", "dest").agg(
+        F.sum("trips").alias("tot"),
         sum_if(F.col("origin") == F.col("dest")).alias("intra"),
         sum_if(F.col("band").isin(*long_bands)).alias("long"),
         sum_if(F.col("act_d").isin(*LEISURE)).alias("leisure"),
         sum_if(F.col("act_d").isin(*COMMUTE)).alias("commute"),
     )
-    out = od.groupBy(F.col("origin").alias("zone")).agg(F.sum("trips").alias("tot_out"))
-    zones = into.join(out, "zone", "full").na.fill(0.0)
+    into = {"tot_in": "tot"} | {k: k for k in ("intra", "long", "leisure", "commute")}
+    return both_ways(pairs, into, {"tot_out": "tot"}).na.fill(0.0)
+
+
+def typology_indices(od: DataFrame, xwalk: DataFrame, long_bands: Sequence[str] = LONG_BANDS) -> DataFrame:
+    zones = typology_parts(od, long_bands)
     cells = spread_ratios(zones, xwalk, TYPOLOGY, also=["tot_out"])
     return cells.select("cell", *TYPOLOGY, log_balance(F.col("tot_out"), F.col("tot_in")).alias("sink_source"))
 
@@ -325,6 +355,7 @@ def typology(indices: DataFrame, *, k: int = 5, seed: int = 42, key: str = "cell
     scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(vectors)
     scaled = scaler.transform(vectors).select(key, "scaled").persist()
     model = KMeans(k=k, seed=seed, featuresCol="scaled", predictionCol="cluster", initSteps=5, maxIter=50).fit(scaled)
+    scaled.unpersist()
     labels = F.array(*[F.lit(n) for n in name_clusters([list(map(float, c)) for c in model.clusterCenters()], used)])
     return model.transform(scaled).select(key, "cluster", F.get(labels, F.col("cluster")).alias("label"))
 

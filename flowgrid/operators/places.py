@@ -20,7 +20,9 @@ RULES = {
 }
 #: Tags of green areas, and of stations.
 GREEN = {"leisure": ("park", "garden", "nature_reserve"), "landuse": ("forest", "meadow", "recreation_ground"), "natural": ("wood", "grassland", "heath")}
-STATIONS = ("station", "halt", "stop")
+STATIONS = ("station", "halt")
+#: What a station without a timetable counts as.
+STATION_TRIPS, STATION_FEED = 12, "osm"
 
 
 def category(tags: Column, only: Sequence[str] | None = None) -> Column:
@@ -49,7 +51,14 @@ def tagged(elements: DataFrame, wanted: dict[str, Sequence[str]]) -> DataFrame:
 
 
 def stations(elements: DataFrame) -> DataFrame:
-    return tagged(elements, {"railway": STATIONS}).where("location is not null").select("id", F.col("location.longitude").alias("lon"), F.col("location.latitude").alias("lat"), F.try_element_at("tags", F.lit("name")).alias("name"))
+    """Stations that stand in for stops where there is no timetable."""
+    at = tagged(elements, {"railway": STATIONS}).where("location is not null and kind = 'node'")
+    key = F.col("id").cast("string")
+    name = F.coalesce(F.try_element_at("tags", F.lit("name")), F.concat(F.lit("station_"), key))
+    return at.select(
+        key.alias("stop_id"), name.alias("stop_name"), F.col("location.longitude").alias("lon"), F.col("location.latitude").alias("lat"),
+        F.lit(STATION_TRIPS).alias("trips_per_day"), F.lit(STATION_FEED).alias("feed"),
+    )
 
 
 def green_areas(elements: DataFrame) -> DataFrame:

@@ -110,11 +110,27 @@ def sensitivity(frame: DataFrame, key: str = "cell", presets: Sequence[str] = tu
     return a.join(F.broadcast(b)).select("a", "b", F.round(overlap, 3).alias("jaccard"))  # as many rows as presets
 
 
-def legacy_score(frame: DataFrame, near: float = 5000.0) -> Column:
-    """The first generation of scores, kept for comparison: distances cost points, up to a cap."""
-    cost = lambda c, per: F.coalesce(F.when(F.col(c).isNotNull(), -F.least(F.col(c), F.lit(near)) / per), F.lit(0.0))
-    reach = F.coalesce(F.when(F.col("train_reach_min").isNotNull(), F.greatest(F.lit(0.0), 25 - F.col("train_reach_min")) * 1.4), F.lit(0.0))
-    total = 50 + reach + cost("climb_min_m", 200) + cost("yoga_min_m", 250) + cost("green_min_m", 200) + cost("hospital_min_m", 400)
+#: Fixed values of the first generation: a distance costs a point for each so many metres, up to a cap.
+LEGACY = {"climb_min_m": (200.0, 5000.0), "yoga_min_m": (250.0, 5000.0), "green_min_m": (200.0, 4000.0), "hospital_min_m": (400.0, 8000.0)}
+LEGACY_TERMS = (
+    "train_reach_per_min_under25", "trains_to_bcn_per_30", "sea_within_3km_bonus", "industry_density", "motorway_within_500m", "pharmacy_density_log", "mitma_through_ratio",
+)
+#: What the form with a catchment adds; its cap holds for all distances but that to green.
+CATCHMENT_TERMS = (
+    "tree_cover_pct", "natura2000_within_5km", "biodiversity_obs_log", "no2_above_who_per_ugm3", "pm25_above_who_per_ugm3", "uhi_per_degree", "viirs_radiance", "eprtr_inverse_dist",
+)
+
+
+def legacy_score(frame: DataFrame, weights: Mapping[str, float] = WEIGHTS, catchment: float | None = None) -> Column:
+    """The first generation of scores, kept for comparison: distances cost points, up to a cap; null is neutral."""
+    col = lambda c: F.col(c) if c in frame.columns else F.lit(None).cast(FEATURES[c])
+    total, terms = F.lit(float(weights.get("base_offset", 50.0))), _terms(col, weights)
+    for key in LEGACY_TERMS + (CATCHMENT_TERMS if catchment else ()):
+        if weights.get(key):
+            total = total + terms[key]
+    for c, (per, cap) in LEGACY.items():
+        cap = catchment if catchment and c != "green_min_m" else cap
+        total = total - F.coalesce(F.when(col(c).isNotNull(), F.least(col(c), F.lit(cap)) / per), F.lit(0.0))
     return F.least(F.lit(100.0), F.greatest(F.lit(0.0), total))
 
 

@@ -129,8 +129,8 @@ def clip_area(polygon: list, ring: list) -> float:
 def overlay_weights(polygons: DataFrame, cells: DataFrame, *, size: float = 20_000.0) -> DataFrame:
     """(zone, cell, weight): each zone's share of area in each cell (cell, ring: convex, counter-clockwise).
 
-    Shares are of the area that cells cover, so that they sum to 1 in a zone which cells cover at all.
-    The overlaps need a polygon clip, which column expressions can't loop over: an Arrow batch function.
+    Shares are of the zone's own area (all its polygons together), so that they sum to less than 1 where
+    cells don't cover it.  The overlaps need a polygon clip, which column expressions can't loop over: an Arrow batch function.
     """
     import pyarrow as pa
 
@@ -148,8 +148,9 @@ def overlay_weights(polygons: DataFrame, cells: DataFrame, *, size: float = 20_0
     valid = polygons.withColumn("polygon", geo.valid_rings(F.col("polygon"))).where(F.size("polygon") > 0)
     pairs = _tiled_polygons(valid, size).join(tiled, ["tx", "ty"]).where(touch & first)
     areas = pairs.select("zone", "cell", "polygon", "ring").mapInArrow(overlap, "zone string, cell string, overlap double").where("overlap > 0")
-    total = F.sum("overlap").over(W.partitionBy("zone"))
-    return areas.select("zone", "cell", (F.col("overlap") / total).alias("weight"))
+    parts = areas.groupBy("zone", "cell").agg(F.sum("overlap").alias("overlap"))
+    whole = valid.groupBy("zone").agg(F.sum(geo.area(F.col("polygon"))).alias("area"))
+    return parts.join(whole, "zone").select("zone", "cell", (F.col("overlap") / F.when(F.col("area") > 0, F.col("area"))).alias("weight"))
 
 
 def hex_cover(polygons: DataFrame, *, full: bool = True) -> DataFrame:

@@ -131,7 +131,7 @@ def regression(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str])
 
 
 def season_days(od: DataFrame) -> DataFrame:
-    """Distinct days by season against the calendar's number."""
-    want = F.when(F.col("season") == "feb", 28).when(F.col("season") == "may", 31).otherwise(30)
-    found = od.where("season is not null").groupBy("season").agg(F.countDistinct(F.substring("day", 5, 4)).alias("days"))
-    return found.select("season", "days", want.alias("expected"), (F.col("days") >= want).alias("complete"))
+    """Days by season against the calendar's number, summed over the years there are; complete if every year is."""
+    want = F.when(F.col("season") == "feb", 28).when(F.col("season") == "may", 31).otherwise(30).cast("long")
+    per_year = od.where("season is not null").groupBy("season", F.substring("day", 1, 4).alias("year")).agg(F.countDistinct("day").alias("days")).withColumn("want", want)
+    return per_year.groupBy("season").agg(F.sum("days").alias("days"), F.sum("want").alias("expected"), F.bool_and(F.col("days") >= F.col("want")).alias("complete"))

@@ -21,23 +21,15 @@ def in_box(lon: Column, lat: Column, box: tuple[float, float, float, float] = BO
 def active_services(calendar: DataFrame | None, calendar_dates: DataFrame | None, weekday: int) -> DataFrame:
     """(service_id) of services that run on a weekday (0 is Monday).
 
-    By the calendar's flag; if it has none, by the added dates of that weekday: the date with most
-    services (ties: the first); if there is none either, by all added dates.
+    By the calendar's flag, where there is a calendar.  Without one, those of the added date with most
+    rows (ties: the first) among the dates of that weekday, or among all dates if none is of it.
     """
-    flagged = None
     if calendar is not None:
-        flagged = calendar.where(F.col(DAYS[weekday]).cast("string") == "1").select("service_id").distinct()
-    if calendar_dates is None:
-        return flagged
-    added = calendar_dates.where(F.col("exception_type").cast("string") == "1")
-    counts = added.groupBy("date").agg(F.count("*").alias("n"))
-    on_day = counts.where(F.weekday(F.to_date("date", "yyyyMMdd")) == weekday)
-    best = on_day.agg(F.max(F.struct("n", (-F.col("date").cast("bigint")).alias("back"))).alias("b")).select(F.when(F.col("b").isNotNull(), (-F.col("b.back")).cast("string")).alias("best"))
-    fallback = added.join(F.broadcast(best)).where(F.col("best").isNull() | (F.col("date") == F.col("best"))).select("service_id").distinct()  # one row
-    if flagged is None:
-        return fallback
-    some = flagged.agg((F.count("*") > 0).alias("some"))
-    return flagged.unionByName(fallback.join(F.broadcast(some)).where("not some").select("service_id"))
+        return calendar.where(F.col(DAYS[weekday]).cast("string") == "1").select("service_id").distinct()
+    added = calendar_dates.where(F.col("exception_type").cast("string") == "1").withColumn("on", F.try_to_date("date", "yyyyMMdd")).where("on is not null")
+    counts = added.groupBy("date", "on").agg(F.count("*").alias("n"))
+    best = counts.agg(F.max(F.struct((F.weekday("on") == weekday).alias("fits"), "n", (-F.datediff("on", F.lit("1970-01-01"))).alias("back"), "date")).alias("b")).select("b.date")
+    return added.join(F.broadcast(best), "date").select("service_id").distinct()  # one row
 
 
 def core_stops(stops: DataFrame) -> DataFrame:
@@ -48,10 +40,10 @@ def core_stops(stops: DataFrame) -> DataFrame:
 
 
 def frequency(stops: DataFrame, trips: DataFrame, stop_times: DataFrame, services: DataFrame, core: DataFrame | None = None) -> DataFrame:
-    """(stop_id, trips_per_day, trips_to_core): distinct trips of active services by stop; 0 if none."""
+    """(stop_id, trips_per_day, trips_to_bcn_core): distinct trips of active services by stop; 0 if none."""
     active = trips.join(services, "service_id", "left_semi").select("trip_id")
     calls = stop_times.select("trip_id", "stop_id").join(active, "trip_id", "left_semi").distinct()
     to_core = calls.join(core if core is not None else core_stops(stops), "stop_id", "left_semi").select(F.col("trip_id").alias("core_trip")).distinct()
     marked = calls.join(to_core, F.col("trip_id") == F.col("core_trip"), "left")
-    counts = marked.groupBy("stop_id").agg(F.count("trip_id").alias("trips_per_day"), F.count("core_trip").alias("trips_to_core"))
-    return stops.select("stop_id").distinct().join(counts, "stop_id", "left").na.fill(0, ["trips_per_day", "trips_to_core"])
+    counts = marked.groupBy("stop_id").agg(F.count("trip_id").alias("trips_per_day"), F.count("core_trip").alias("trips_to_bcn_core"))
+    return stops.select("stop_id").distinct().join(counts, "stop_id", "left").na.fill(0, ["trips_per_day", "trips_to_bcn_core"])

@@ -198,18 +198,18 @@ def steady(shares: DataFrame) -> DataFrame:
 
 @register("hourly_rhythm", rhythm_sql("", NARROW, PARTS))
 def hourly_rhythm(spark, d):
-    return rounded(flows.rhythm(steady(flows.hour_shares(silver(spark, d), crosswalk(spark, d)))))
+    return rounded(flows.hourly_rhythm(silver(spark, d), crosswalk(spark, d)))
 
 
 @register("hourly_rhythm_wide", rhythm_sql("", _bands("7 AND 9", "17 AND 20", "11 AND 14"), PARTS.replace("5 AND 10", "6 AND 10").replace("16 AND 19", "16 AND 21")))
 def hourly_rhythm_wide(spark, d):
-    return rounded(flows.rhythm(steady(flows.hour_shares(silver(spark, d), crosswalk(spark, d))), bands=flows.WIDE_BANDS, parts=flows.WIDE_PARTS))
+    return rounded(flows.hourly_rhythm(silver(spark, d), crosswalk(spark, d), bands=flows.WIDE_BANDS, parts=flows.WIDE_PARTS))
 
 
 @register("hourly_rhythm_seasonal", rhythm_sql("season", NARROW, PARTS, "season IS NOT NULL"))
 def hourly_rhythm_seasonal(spark, d):
     od = silver(spark, d).where("season is not null")
-    return rounded(flows.rhythm(steady(flows.hour_shares(od, crosswalk(spark, d), ["season"])), ["season"]))
+    return rounded(flows.hourly_rhythm(od, crosswalk(spark, d), ["season"]))
 
 
 LONG_SQL = """, z AS (SELECT dest AS zone, hour, sum(trips) AS v FROM silver GROUP BY ALL),
@@ -515,8 +515,9 @@ def regression_diff(spark, d):
     return rounded(stats.regression(old, new, "cell", ["balance"]))
 
 
-@register("season_preflight", cube_sql(""", t AS (SELECT season, count(DISTINCT substr(day, 5, 4)) AS days FROM silver WHERE season IS NOT NULL GROUP BY season)
-SELECT season, days, CASE season WHEN 'feb' THEN 28 WHEN 'may' THEN 31 ELSE 30 END AS expected, days >= CASE season WHEN 'feb' THEN 28 WHEN 'may' THEN 31 ELSE 30 END AS complete FROM t"""))
+@register("season_preflight", cube_sql(""", t AS (SELECT season, substr(day, 1, 4) AS y, count(DISTINCT day) AS days FROM silver WHERE season IS NOT NULL GROUP BY ALL),
+e AS (SELECT *, CASE season WHEN 'feb' THEN 28 WHEN 'may' THEN 31 ELSE 30 END AS want FROM t)
+SELECT season, CAST(sum(days) AS BIGINT) AS days, CAST(sum(want) AS BIGINT) AS expected, bool_and(days >= want) AS complete FROM e GROUP BY season"""))
 def season_preflight(spark, d):
     return stats.season_days(silver(spark, d))
 
@@ -556,11 +557,22 @@ def score_sensitivity(spark, d):
     return score.sensitivity(cells(spark, d))
 
 
-@register("score_legacy", f"""WITH {CELLS_SQL} SELECT cell, round(least(100.0, greatest(0.0, 50 + coalesce(CASE WHEN train_reach_min IS NOT NULL THEN greatest(0.0, 25 - train_reach_min) * CAST(1.4 AS DOUBLE) END, 0)
-- {' - '.join(f"coalesce(CASE WHEN {c} IS NOT NULL THEN least({c}, 5000.0) END / {per}.0, 0)" for c, per in (("climb_min_m", 200), ("yoga_min_m", 250), ("green_min_m", 200), ("hospital_min_m", 400)))})), 6) AS score FROM cells""")
+def _legacy_sql(near: float, green: float, hospital: float, wide: bool) -> str:
+    """The first generation's score, written from its definition."""
+    far = lambda c, cap, per: f"- coalesce(CASE WHEN {c} IS NOT NULL THEN least({c}, {cap}) END / {per}, 0)"  # least skips nulls
+    more = """ + coalesce(CASE WHEN natura2000_within_5km THEN 5 END, 0) + coalesce(tree_cover_pct * CAST(0.15 AS DOUBLE), 0) + coalesce(ln(1 + biodiversity_obs_density), 0)
+    - coalesce(greatest(no2_ugm3 - 20, 0) * CAST(0.5 AS DOUBLE), 0) - coalesce(greatest(pm25_ugm3 - 5, 0) * CAST(1.2 AS DOUBLE), 0) - coalesce(greatest(uhi_delta_c, 0) * 2, 0)
+    - coalesce(viirs_radiance * CAST(0.05 AS DOUBLE), 0) - coalesce(CASE WHEN eprtr_facility_min_m > 0 THEN CAST(0.001 AS DOUBLE) / eprtr_facility_min_m END, 0)"""
+    return f"""50 + coalesce(greatest(0.0, 25 - train_reach_min) * CAST(1.4 AS DOUBLE), 0) + coalesce(trains_to_bcn_nearest / 30, 0)
+    {far('climb_min_m', near, 200.0)} {far('yoga_min_m', near, 250.0)} {far('green_min_m', green, 200.0)} {far('hospital_min_m', hospital, 400.0)}
+    + coalesce(CASE WHEN sea_min_m < 3000 THEN 6 END, 0) - coalesce(industry_density_per_km2 * 6, 0) - coalesce(CASE WHEN motorway_within_500m THEN 12 END, 0) + coalesce(ln(1 + pharmacy_density_per_km2), 0){more if wide else ''}"""
+
+
+@register("score_legacy", f"""WITH {CELLS_SQL} SELECT cell, round(least(100.0, greatest(0.0, {_legacy_sql(5000.0, 4000.0, 8000.0, False)})), 6) AS score,
+round(least(100.0, greatest(0.0, {_legacy_sql(10000.0, 4000.0, 10000.0, True)})), 6) AS score_10km FROM cells""")
 def score_legacy(spark, d):
     frame = cells(spark, d)
-    return rounded(frame.select("cell", score.legacy_score(frame).alias("score")))
+    return rounded(frame.select("cell", score.legacy_score(frame).alias("score"), score.legacy_score(frame, catchment=score.CATCHMENT_M).alias("score_10km")))
 
 
 @register("score_report", f"""WITH {CELLS_SQL}, s AS (SELECT {score_sql('default')} AS s FROM cells) SELECT count(*) AS n, round(min(s), 6) AS least, round(max(s), 6) AS greatest, round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS sd,
@@ -632,7 +644,7 @@ stops AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS stop_id, CASE WHEN s_suppk
 
 @register("stop_frequency", f"""WITH {STOP_TIMES_SQL}, calls AS (SELECT DISTINCT s.trip_id, s.stop_id FROM stop_times s JOIN active a ON a.trip_id = s.trip_id),
 core AS (SELECT DISTINCT trip_id FROM calls WHERE stop_id IN (SELECT stop_id FROM stops WHERE lower(stop_name) LIKE '%catalunya%'))
-SELECT t.stop_id, count(c.trip_id) AS trips_per_day, count(k.trip_id) AS trips_to_core FROM stops t LEFT JOIN calls c ON c.stop_id = t.stop_id LEFT JOIN core k ON k.trip_id = c.trip_id GROUP BY t.stop_id""")
+SELECT t.stop_id, count(c.trip_id) AS trips_per_day, count(k.trip_id) AS trips_to_bcn_core FROM stops t LEFT JOIN calls c ON c.stop_id = t.stop_id LEFT JOIN core k ON k.trip_id = c.trip_id GROUP BY t.stop_id""")
 def stop_frequency(spark, d):
     stop = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
     times = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("trip_id"), stop.alias("stop_id"))
@@ -649,6 +661,14 @@ def active_services(spark, d):
     return transit.active_services(None, dates.distinct(), 2)
 
 
+@register("active_services_other_day", """WITH a AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS service_id, strftime(o_orderdate, '%Y%m%d') AS date FROM orders WHERE isodow(o_orderdate) <> 3), n AS (SELECT date, count(*) AS n FROM a GROUP BY date),
+b AS (SELECT date FROM n ORDER BY n DESC, date LIMIT 1) SELECT DISTINCT service_id FROM a JOIN b USING (date)""")
+def active_services_other_day(spark, d):
+    """No date is a Wednesday: the date with most services stands in."""
+    dates = read(spark, d, "orders").where(F.weekday("o_orderdate") != 2).select(F.col("o_custkey").cast("string").alias("service_id"), F.date_format("o_orderdate", "yyyyMMdd").alias("date"), F.lit(1).alias("exception_type"))
+    return transit.active_services(None, dates.distinct(), 2)
+
+
 @register("unpivot_station_mean", """WITH w AS (SELECT l_suppkey AS station, l_returnflag AS pollutant, l_quantity AS h01, l_discount AS h02, l_tax AS h03 FROM lineitem),
 u AS (SELECT station, pollutant, h01 AS v FROM w UNION ALL SELECT station, pollutant, h02 FROM w UNION ALL SELECT station, pollutant, h03 FROM w)
 SELECT station, pollutant, round(avg(v), 6) AS mean FROM u GROUP BY ALL""")
@@ -843,21 +863,6 @@ def density_clusters(spark, d):
     return spatial.cluster_points(points(spark, d, "customer", "c_custkey"), 9_000, 4)
 
 
-@register("knn_embeddings", """WITH q AS (SELECT * FROM embeddings WHERE vec_id < 10), p AS (SELECT q.vec_id AS id, e.vec_id AS r_id, list_distance(q.embedding, e.embedding) AS d FROM q, embeddings e WHERE q.label = e.label AND q.vec_id <> e.vec_id)
-SELECT id, r_id, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d, 4), r_id) AS n FROM p) WHERE n <= 3""")
-def knn_embeddings(spark, d):
-    """The three nearest vectors of the same label, for a stated set of ten query vectors (broadcast: ten rows)."""
-    from pyspark.sql.window import Window as W
-
-    e = read(spark, d, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").alias("l"))
-    squares_ = F.zip_with("v", "embedding", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double")))
-    far = F.round(F.sqrt(F.aggregate(squares_, F.lit(0.0), lambda s, x: s + x)), 4)
-    pairs = e.join(F.broadcast(q), (F.col("l") == F.col("label")) & (F.col("id") != F.col("vec_id"))).select("id", F.col("vec_id").alias("r_id"), far.alias("d"))
-    rank = F.row_number().over(W.partitionBy("id").orderBy("d", "r_id"))
-    return pairs.withColumn("rank", rank).where("rank <= 3").select("id", "r_id", "rank")
-
-
 @register("knn_embeddings_by_20", """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL), p AS (SELECT q.vec_id AS id, e.vec_id AS r_id, list_distance(q.v, e.v) AS d FROM v q JOIN v e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)
 SELECT id, r_id, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d, 4), r_id) AS n FROM p) WHERE n <= 3""")
 def knn_embeddings_by_20(spark, d):

@@ -150,35 +150,42 @@ def hourly_to_long(wide: DataFrame, ids: Sequence[str], prefix: str = "h") -> Da
     return long.select(*ids, F.substring("slot", len(prefix) + 1, 9).cast("int").alias("hour"), "value")
 
 
-def pick_column(columns: Sequence[str], names: Sequence[str]) -> str | None:
-    """The first column with one of the names, in any case."""
-    return next((c for c in columns if c.strip().lower() in names), None)
+#: The region's box, and the names that columns go by (in lower case).
+REGION = (0.15, 3.35, 40.50, 42.90)
+FACILITY_NAMES = {
+    "name": ("facilityname", "facility_name", "name"), "facility_id": ("facilityid", "facility_id"), "lon": ("long", "longitude", "lon"), "lat": ("lat", "latitude"),
+    "total_emissions_t": ("totalquantity", "total_emissions_t"), "total_emissions_kg": ("pollutantreleaseandtransferquantitykg", "total_emissions_kg"),
+}
+HOSPITAL_NAMES = {
+    "name": ("nom", "nombre", "denominacio", "name"), "code": ("codi", "codigo", "id"), "lon": ("longitud", "longitude", "lon", "lng"), "lat": ("latitud", "latitude", "lat"),
+}
+
+
+def by_alias(raw: DataFrame, names: dict[str, Sequence[str]], needed: Sequence[str] = ()) -> DataFrame:
+    """A column for each name, from the first column with one of its aliases in any case; null if there is none and it isn't needed."""
+    found = {k: next((c for c in raw.columns if c.lower() in aliases), None) for k, aliases in names.items()}
+    if lacking := [k for k in needed if found[k] is None]:
+        raise ValueError(f"no column for {lacking} among {raw.columns}")
+    return raw.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(k) for k, c in found.items()])
 
 
-def facilities(spark: SparkSession, path: str, *, box: tuple[float, float, float, float] = BOX) -> DataFrame:
+def facilities(spark: SparkSession, path: str, *, box: tuple[float, float, float, float] = REGION) -> DataFrame:
     """Industrial facilities under any of the usual column names; kilograms become tonnes."""
-    raw = stripped_csv(spark, path)
-    find = lambda *names: pick_column(raw.columns, names)
-    name, key, lon, lat = find("facilityname", "facility_name", "name"), find("facilityid", "facility_id"), find("long", "longitude", "lon"), find("lat", "latitude")
-    tonnes, kilos = find("totalquantity", "total_emissions_t"), find("pollutantreleaseandtransferquantitykg", "total_emissions_kg")
-    amount = F.col(tonnes).try_cast("double") if tonnes else F.col(kilos).try_cast("double") / 1000 if kilos else F.lit(None).cast("double")
-    out = raw.select(F.col(key).alias("facility_id"), F.col(name).alias("name"), F.col(lon).try_cast("double").alias("lon"), F.col(lat).try_cast("double").alias("lat"), amount.alias("total_emissions_t"))
+    raw = by_alias(stripped_csv(spark, path), FACILITY_NAMES, ("lon", "lat"))
+    tonnes = F.coalesce(F.col("total_emissions_t").try_cast("double"), F.col("total_emissions_kg").try_cast("double") / 1000)
+    out = raw.select("facility_id", "name", F.col("lon").try_cast("double").alias("lon"), F.col("lat").try_cast("double").alias("lat"), tonnes.alias("total_emissions_t"))
     return out.dropna(subset=["lon", "lat"]).where(in_box(F.col("lon"), F.col("lat"), box))
 
 
 def hospitals(spark: SparkSession, path: str) -> DataFrame:
     """A registry of hospitals as points of interest; ids are hashes of the registry's codes."""
-    raw = stripped_csv(spark, path)
-    find = lambda *names: pick_column(raw.columns, names)
-    lon, lat = find("longitud", "longitude", "lon", "lng"), find("latitud", "latitude", "lat")
-    if lon is None or lat is None:
-        raise ValueError(f"no coordinates among the columns {raw.columns[:10]}")
-    name = find("nom", "nombre", "denominacio", "name") or raw.columns[1]
-    code = F.col(find("codi", "codigo", "id") or raw.columns[0])
-    return raw.select(
-        F.pmod(F.xxhash64(code), F.lit(1_000_000_000)).alias("osm_id"), F.lit("node").alias("osm_type"), F.lit("hospital").alias("category"), F.col(name).alias("name"),
-        F.col(lon).try_cast("double").alias("lon"), F.col(lat).try_cast("double").alias("lat"), F.create_map(F.lit("source"), F.lit("registry"), F.lit("code"), code).alias("tags"),
-    ).dropna(subset=["lon", "lat"])
+    raw = by_alias(stripped_csv(spark, path), HOSPITAL_NAMES, tuple(HOSPITAL_NAMES))
+    tags = F.create_map(F.lit("source"), F.lit("registry"), F.lit("code"), F.col("code"))
+    out = raw.select(
+        F.pmod(F.xxhash64("code"), F.lit(1_000_000_000)).alias("osm_id"), F.lit("node").alias("osm_type"), F.lit("hospital").alias("category"), "name",
+        F.col("lon").try_cast("double").alias("lon"), F.col("lat").try_cast("double").alias("lat"), tags.alias("tags"),
+    )
+    return out.dropna(subset=["lon", "lat"])
 
 
 def protected_areas(frame: DataFrame, *, box: tuple[float, float, float, float] = BOX) -> DataFrame:
@@ -258,7 +265,8 @@ class PagedSource(DataSource):
 def observations(frame: DataFrame, *, source: str = "gbif", box=BOX, most: int | None = None) -> DataFrame:
     """Observed (or unsaid) occurrences within the box, each once; at most so many, if a cap is the caller's wish."""
     present = F.col("status").isNull() | (F.col("status") == "PRESENT")
-    kept = frame.where(present & in_box(F.col("lon"), F.col("lat"), box)).dropDuplicates(["observation_id"]).withColumn("source", F.lit(source)).drop("status")
+    kept = frame.where(present & in_box(F.col("lon"), F.col("lat"), box)).dropDuplicates(["observation_id"]).drop("status")
+    kept = kept.withColumns({"source": F.lit(source), "research_grade": F.col("research_grade") if "research_grade" in frame.columns else F.lit(None).cast("boolean")})
     return kept.orderBy("observation_id").limit(most) if most else kept
 
 
@@ -280,11 +288,11 @@ def plan_files(kind: str, days: Sequence[date], base: str = BASE_URL) -> list[Re
     """Where the day files of a kind lie; nothing is fetched."""
     if kind not in KINDS:
         raise ValueError(f"kind is one of {KINDS}, not {kind!r}")
-    folder = "ficheros-diarios"
+    folder = "ficheros-diarios/" if kind == "daily" else ""
     out = []
     for d in days:
         name = f"{d:%Y%m%d}_Viajes_distritos.csv.gz"
-        out.append(RemoteFile(kind, d.isoformat(), f"{base}/estudios_basicos/por-distritos/viajes/{folder}/{d:%Y-%m}/{name}", name))
+        out.append(RemoteFile(kind, d.isoformat(), f"{base}/estudios_basicos/por-distritos/viajes/{folder}{d:%Y-%m}/{name}", name))
     return out
 
 

@@ -204,11 +204,13 @@ def test_timetables(spark, tmp_path):
         services = transit.active_services(None, table("calendar_dates", ("service_id", "date", "exception_type")), 0)
         assert sorted(r.service_id for r in services.collect()) == ["h", "w"]
         got = transit.frequency(stops, table("trips", ("trip_id", "service_id")), table("stop_times", ("trip_id", "stop_id")), services).collect()
-        assert {(r.stop_id, r.trips_per_day, r.trips_to_core) for r in got} == {("s1", 1, 1), ("s2", 3, 1)}
+        assert {(r.stop_id, r.trips_per_day, r.trips_to_bcn_core) for r in got} == {("s1", 1, 1), ("s2", 3, 1)}
     calendar = spark.createDataFrame([("c", "1"), ("d", "0")], "service_id string, monday string")
     assert [r.service_id for r in transit.active_services(calendar, None, 0).collect()] == ["c"]
     sunday = transit.active_services(None, table("calendar_dates", ("service_id", "date", "exception_type")), 6)
-    assert sorted(r.service_id for r in sunday.collect()) == ["h", "v", "w"]
+    assert sorted(r.service_id for r in sunday.collect()) == ["h", "w"]  # no date is a Sunday: those of the date with most rows
+    some = spark.createDataFrame([("c", "0")], "service_id string, monday string")
+    assert transit.active_services(some, table("calendar_dates", ("service_id", "date", "exception_type")), 0).count() == 0  # a calendar is final
 
 
 def test_stations_facilities_hospitals(spark, tmp_path):
@@ -298,7 +300,7 @@ def test_places(spark):
         [(1, "node", (2.0, 41.0), None, {"railway": "station", "name": "S"}), (2, "node", (2.1, 41.1), None, None), (9, "way", None, [2, 1], {"highway": "motorway"}), (8, "way", None, [1, 2], {"natural": "coastline"})],
         "id long, kind string, location struct<longitude:double,latitude:double>, refs array<long>, tags map<string,string>",
     )
-    assert [r.name for r in places.stations(elements).collect()] == ["S"] and places.coastlines(elements).count() == 1
+    assert [(r.stop_id, r.stop_name, r.trips_per_day, r.feed) for r in places.stations(elements).collect()] == [("1", "S", 12, "osm")] and places.coastlines(elements).count() == 1
     line = places.network(elements).first()
     assert (line.osm_id, line.kind, line.subtype, [p.x for p in line.line]) == (9, "highway", "motorway", [2.1, 2.0])
 
