@@ -199,9 +199,9 @@ def hourly_rhythm(od: DataFrame, xwalk: DataFrame, keys: Sequence[str] = (), ban
     zones = od.groupBy(F.col("dest").alias("zone"), *keys).agg(*[sum_if(F.col("hour") == h).alias(f"h{h}") for h in range(24)])
     cells = spread(zones, xwalk, hours, keys)
     day = sum((F.col(h) for h in hours[1:]), F.col(hours[0]))
-    inside = lambda spans: sum((F.col(f"h{h}") for a, b in spans for h in range(a, b + 1)), F.lit(0.0))
+    inside = lambda spans: sum((guarded(F.col(f"h{h}"), day) for a, b in spans for h in range(a, b + 1)), F.lit(0.0))
     peak = F.array_max(F.array(*[F.struct(F.round(f"h{h}", places).alias("flow"), F.lit(-h).alias("back")) for h in range(24)]))
-    out = cells.select("cell", *keys, *[guarded(inside(s), day).alias(k) for k, s in (bands or HOUR_BANDS).items()], (-peak["back"]).alias("peak_hour"))
+    out = cells.select("cell", *keys, *[inside(s).alias(k) for k, s in (bands or HOUR_BANDS).items()], (-peak["back"]).alias("peak_hour"))
     return out.withColumn("peak_part", day_part(F.col("peak_hour"), parts))
 
 

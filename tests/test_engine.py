@@ -43,16 +43,40 @@ def plain(values):
     return tuple(out)
 
 
-@pytest.mark.parametrize("name", ["inflow_outflow", "weekend_hotspots_seasonal", "geodemographic", "od_slices_topn", "score_default", "score_sensitivity", "nearest_attribute", "overlay_weights_rect", "contract_report", "stop_frequency"])
+@pytest.mark.parametrize("name", ["inflow_outflow", "weekend_hotspots_seasonal", "geodemographic", "od_slices_topn", "score_default", "score_sensitivity", "nearest_attribute", "overlay_weights_rect", "contract_report", "stop_frequency",
+    "daily_rollup", "inflow_outflow_mean", "centroid_totals", "hourly_rhythm", "hourly_rhythm_seasonal", "weekend_hotspots_gated", "typology_indices", "score_legacy", "active_services", "active_services_other_day",
+    "season_preflight", "od_slices_located", "od_flow_ranks", "slice_index", "od_arcs_dominant", "zone_indices", "near_protected", "facilities_once", "story_statistics", "store_scan", "score_colours"])
 def test_against_sql(spark, duck, name):
-    frame = catalog.QUERIES[name](spark, SF)
+    from flowgrid.plans import exports
+
+    frame = exports.QUERIES[name](spark, SF)
     got = sorted(plain(r[c] for c in sorted(frame.columns)) for r in frame.collect())
-    sql = duck.sql(catalog.ORACLES[name])
+    sql = duck.sql(exports.ORACLES[name])
     order = sorted(range(len(sql.columns)), key=lambda i: sql.columns[i])
     assert sorted(frame.columns) == sorted(sql.columns)
     assert got == sorted(plain(r[i] for i in order) for r in sql.fetchall()) and got
 
 
+def test_cube_is_scanned_once(spark):
+    """Flows in and out, rhythm, weekends and typology read the line items once."""
+    for name in ("inflow_outflow", "inflow_outflow_mean", "centroid_totals", "hourly_rhythm", "weekend_hotspots_gated", "typology_indices", "daily_rollup"):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("lineitem.parquet") == 1, name
+
+
+def test_slices_by_key_and_plans():
+    from datetime import date
+
+    from flowgrid.operators import exports
+
+    with pytest.raises(KeyError):
+        exports.slice_of(None, "august", "weekend")
+    base = "https://movilidad-opendata.mitma.es/estudios_basicos/por-distritos/viajes/"
+    url = lambda kind: readers.plan_files(kind, [date(2024, 10, 15)])[0].url
+    assert url("daily") == base + "ficheros-diarios/2024-10/20241015_Viajes_distritos.csv.gz"
+    assert url("hourly") == base + "2024-10/20241015_Viajes_distritos.csv.gz"
+
+
 def test_every_query_is_declared(spark):
     import __spark_entry__
 
