@@ -44,7 +44,7 @@ def plain(values):
 
 
 @pytest.mark.parametrize("name", ["inflow_outflow", "weekend_hotspots_seasonal", "geodemographic", "od_slices_topn", "score_default", "score_sensitivity", "nearest_attribute", "overlay_weights_rect", "contract_report", "stop_frequency",
-    "daily_rollup", "inflow_outflow_mean", "centroid_totals", "hourly_rhythm", "hourly_rhythm_seasonal", "weekend_hotspots_gated", "typology_indices", "score_legacy", "active_services", "active_services_other_day",
+    "daily_rollup", "inflow_outflow_mean", "centroid_totals", "hourly_rhythm", "hourly_rhythm_wide", "weekend_hotspots_gated", "typology_indices", "score_legacy", "active_services", "active_services_other_day",
     "season_preflight", "od_slices_located", "od_flow_ranks", "slice_index", "od_arcs_dominant", "zone_indices", "near_protected", "facilities_once", "story_statistics", "store_scan", "score_colours"])
 def test_against_sql(spark, duck, name):
     from flowgrid.plans import exports
