@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from flowgrid.functions import geo
@@ -126,50 +127,82 @@ def clip_area(polygon: list, ring: list) -> float:
     return max(0.0, shell - sum(holes))
 
 
-def overlay_weights(polygons: DataFrame, cells: DataFrame, *, size: float = 20_000.0) -> DataFrame:
-    """(zone, cell, weight): each zone's share of area in each cell (cell, ring: convex, counter-clockwise).
+#: Square metres below which a clip along a shared edge is rounding (1e-11 is usual), not overlap.
+SLIVER = 1e-6
+
+
+def overlap_areas(pairs: DataFrame, least: float = 0.0) -> DataFrame:
+    """Pairs (polygon, ring and others) with the area of their overlap in place of both, where it is above the least.
 
-    Shares are of the zone's own area (all its polygons together), so that they sum to less than 1 where
-    cells don't cover it.  The overlaps need a polygon clip, which column expressions can't loop over: an Arrow batch function.
+    A polygon clip is a loop that column expressions can't express: an Arrow batch function.
     """
     import pyarrow as pa
 
+    kept = [c for c in pairs.columns if c not in ("polygon", "ring")]
+
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pts = lambda ring: [(p["x"], p["y"]) for p in ring]
         for b in batches:
-            shares = [clip_area([pts(r) for r in poly], pts(ring)) for poly, ring in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shares, pa.float64())], names=["zone", "cell", "overlap"])
+            areas = [clip_area([pts(r) for r in poly], pts(ring)) for poly, ring in zip(b.column("polygon").to_pylist(), b.column("ring").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(areas, pa.float64())], names=[*kept, "overlap"])
+
+    schema = T.StructType([T.StructField(c, pairs.schema[c].dataType) for c in kept] + [T.StructField("overlap", T.DoubleType())])
+    return pairs.mapInArrow(overlap, schema).where(F.col("overlap") > least)
+
+
+def _valid(polygons: DataFrame) -> DataFrame:
+    return polygons.withColumn("polygon", geo.valid_rings(F.col("polygon"))).where(F.size("polygon") > 0)
+
+
+def _shares(parts: DataFrame, valid: DataFrame) -> DataFrame:
+    """(zone, cell, weight): overlaps as shares of the zone's own area, all its polygons together."""
+    whole = valid.groupBy("zone").agg(F.sum(geo.area(F.col("polygon"))).alias("area"))
+    return parts.join(whole, "zone").select("zone", "cell", (F.col("overlap") / F.when(F.col("area") > 0, F.col("area"))).alias("weight"))
+
 
+def overlay_weights(polygons: DataFrame, cells: DataFrame, *, size: float = 20_000.0) -> DataFrame:
+    """(zone, cell, weight): each zone's share of area in each cell (cell, ring: convex, counter-clockwise).
+
+    Shares are of the zone's own area, so that they sum to less than 1 where cells don't cover it.
+    """
     boxed = cells.withColumn("cbox", geo.bounds(F.array("ring")))
     tiled = boxed.withColumn("tile", F.explode(_box_tiles(F.col("cbox"), size))).select("cell", "ring", "cbox", F.col("tile.tx").alias("tx"), F.col("tile.ty").alias("ty"))
     touch = (F.col("box.x0") <= F.col("cbox.x1")) & (F.col("cbox.x0") <= F.col("box.x1")) & (F.col("box.y0") <= F.col("cbox.y1")) & (F.col("cbox.y0") <= F.col("box.y1"))
     # A pair that shares several tiles is kept in the first of them only.
     first = (F.floor(F.greatest("box.x0", "cbox.x0") / size) == F.col("tx")) & (F.floor(F.greatest("box.y0", "cbox.y0") / size) == F.col("ty"))
-    valid = polygons.withColumn("polygon", geo.valid_rings(F.col("polygon"))).where(F.size("polygon") > 0)
+    valid = _valid(polygons)
     pairs = _tiled_polygons(valid, size).join(tiled, ["tx", "ty"]).where(touch & first)
-    areas = pairs.select("zone", "cell", "polygon", "ring").mapInArrow(overlap, "zone string, cell string, overlap double").where("overlap > 0")
-    parts = areas.groupBy("zone", "cell").agg(F.sum("overlap").alias("overlap"))
-    whole = valid.groupBy("zone").agg(F.sum(geo.area(F.col("polygon"))).alias("area"))
-    return parts.join(whole, "zone").select("zone", "cell", (F.col("overlap") / F.when(F.col("area") > 0, F.col("area"))).alias("weight"))
+    areas = overlap_areas(pairs.select("zone", "cell", "polygon", "ring"))
+    return _shares(areas.groupBy("zone", "cell").agg(F.sum("overlap").alias("overlap")), valid)
 
 
-def hex_cover(polygons: DataFrame, *, full: bool = True) -> DataFrame:
-    """(zone, cell, q, r, ring): lattice cells that a polygon's box touches (full) or whose centres it holds."""
-    box = geo.bounds(F.col("polygon"))
-    boxed = polygons.withColumn("b", box)
+def _box_cells(polygons: DataFrame) -> DataFrame:
+    """(zone, polygon, q, r): lattice cells that a polygon's box touches."""
+    boxed = polygons.withColumn("b", geo.bounds(F.col("polygon")))
     axes = boxed.withColumn("c", F.explode(geo.cells_in_box(F.col("b.x0"), F.col("b.y0"), F.col("b.x1"), F.col("b.y1"))))
-    q, r = F.col("c.q"), F.col("c.r")
-    cells = axes.select("zone", "polygon", q.alias("q"), r.alias("r"), geo.cell_id(q, r).alias("cell"), geo.cell_ring(q, r).alias("ring"))
-    if not full:
-        x, y = geo.cell_center(F.col("q"), F.col("r"))
-        cells = cells.where(geo.contains(F.col("polygon"), x, y))
-    return cells.drop("polygon")
+    return axes.select("zone", "polygon", F.col("c.q").alias("q"), F.col("c.r").alias("r"))
+
+
+def _hex_overlaps(valid: DataFrame) -> DataFrame:
+    """(zone, q, r, overlap): area that each zone shares with each lattice cell, where it is more than a sliver."""
+    pairs = _box_cells(valid).withColumn("ring", geo.cell_ring(F.col("q"), F.col("r")))
+    return overlap_areas(pairs, SLIVER).groupBy("zone", "q", "r").agg(F.sum("overlap").alias("overlap"))
+
+
+def hex_cover(polygons: DataFrame, *, full: bool = True) -> DataFrame:
+    """(zone, cell, q, r, ring): lattice cells that share area with a zone (full), or whose centres its polygons hold."""
+    q, r = F.col("q"), F.col("r")
+    if full:
+        cells = _hex_overlaps(_valid(polygons))
+    else:
+        cells = _box_cells(polygons).where(geo.contains(F.col("polygon"), *geo.cell_center(q, r)))
+    return cells.select("zone", geo.cell_id(q, r).alias("cell"), "q", "r", geo.cell_ring(q, r).alias("ring"))
 
 
 def hex_crosswalk(polygons: DataFrame) -> DataFrame:
-    """Zones' weights over all lattice cells that they touch."""
-    cells = hex_cover(polygons).groupBy("cell").agg(F.first("ring").alias("ring"))
-    return overlay_weights(polygons, cells)
+    """Zones' weights over all lattice cells that they share area with."""
+    valid = _valid(polygons)
+    return _shares(_hex_overlaps(valid).withColumn("cell", geo.cell_id(F.col("q"), F.col("r"))), valid)
 
 
 def cell_counts(points: DataFrame) -> DataFrame:

@@ -16,9 +16,12 @@ PAGE_CAPS = {"cells": 60_000, "arcs": 5_000, "places": 5_000}
 
 
 def write_bronze(raw: DataFrame, root: str, *, zoning: str, kind: str) -> None:
-    """The raw cube by zoning, kind and day; each day is written by one task, and only its partitions are replaced."""
+    """The raw cube by zoning, kind and day; only the partitions written are replaced.
+
+    Rows are gathered by day in tasks of about the advisory partition size: a large day is split, small ones share a task.
+    """
     marked = raw.withColumns({"zoning": F.lit(zoning), "kind": F.lit(kind)})
-    parts = marked.repartition("fecha").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    parts = marked.hint("rebalance", F.col("fecha")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     parts.partitionBy("zoning", "kind", "fecha").parquet(root)
 
 

@@ -375,6 +375,13 @@ def test_hex_crosswalk_closes(spark):
     assert [(w.cell, w.weight) for w in whole.collect()] == [("all", 1.0)]
     full, centred = spatial.hex_cover(zones).count(), spatial.hex_cover(zones, full=False).count()
     assert full > centred > 0
+    triangle = spark.createDataFrame([("t", [[(0.0, 0.0), (12000.0, 0.0), (0.0, 12000.0), (0.0, 0.0)]])], "zone string, polygon array<array<struct<x:double,y:double>>>")
+    cells = {c.cell: [(p.x, p.y) for p in c.ring] for c in spatial.hex_cover(triangle).collect()}
+    boxed = triangle.withColumn("polygon", F.expr("array(transform(array(0, 1, 2, 3, 0), i -> struct(if(i in (1, 2), 12000D, 0D) as x, if(i in (2, 3), 12000D, 0D) as y)))"))
+    inside = {c.cell: [(p.x, p.y) for p in c.ring] for c in spatial.hex_cover(boxed).collect()}
+    shape = [[(0.0, 0.0), (12000.0, 0.0), (0.0, 12000.0), (0.0, 0.0)]]
+    assert set(cells) == {c for c, ring in inside.items() if spatial.clip_area(shape, ring) > spatial.SLIVER} and len(cells) < len(inside)
+    assert {w.cell for w in spatial.hex_crosswalk(triangle).collect()} == set(cells)
     ring = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
     assert spatial.clip_area([[(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)]], ring) == 1.0 and spatial.clip_area([[(5.0, 5.0), (6.0, 5.0), (6.0, 6.0)]], ring) == 0.0
 
@@ -409,3 +416,20 @@ def test_nearest_in_blocks(spark):
     assert {r.id for r in got.select("id").distinct().collect()} == {r.vec_id for r in e.where("vec_id % 20 = 0").collect()}
     small = catalog.nearest_of_label(e, F.col("vec_id") % 20 == 0, 3, query_rows=2, rows=7)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_bronze_splits_a_large_day(spark, tmp_path):
+    from flowgrid.sources import sinks
+
+    rows = spark.range(0, 60_000, 1, 8).selectExpr("if(id < 100, '20240101', '20240102') as fecha", "sha2(cast(id as string), 256) as origen", "cast(id as double) as viajes")
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "256k")
+    try:
+        sinks.write_bronze(rows, str(tmp_path), zoning="districts", kind="daily")
+    finally:
+        spark.conf.set(size, before)
+    back = spark.read.parquet(str(tmp_path))
+    assert {(r.fecha, r.n) for r in back.groupBy(F.col("fecha").cast("string")).agg(F.count("*").alias("n")).collect()} == {("20240101", 100), ("20240102", 59_900)}
+    files = lambda day: len(list(tmp_path.glob(f"zoning=districts/kind=daily/fecha={day}/*.parquet")))
+    assert files("20240102") > 1 and files("20240101") <= 8
