@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowgrid.llm.common import checkpointed
+from flowgrid.llm.common import checkpointed, small_batches
 from flowgrid.llm.components import components
 
 #: Standard errors below the threshold that still count as alike in a sketch.
@@ -366,6 +366,11 @@ def _handled(rows: DataFrame, further: DataFrame | None) -> DataFrame:
 
 def find(docs: DataFrame, *, width: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
+    with small_batches(docs.sparkSession):  # all Python work ends here: what is returned only joins its tables
+        return _found(docs, width, percent)
+
+
+def _found(docs: DataFrame, width: int, percent: int) -> DataFrame:
     signed = checkpointed(signatures(docs, width))
     further = _further(signed.where("n_shingles > 0 and doc_id is not null"))
     usable = _handled(signed.where("n_shingles > 0 and doc_id is not null"), further)

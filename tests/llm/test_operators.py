@@ -766,3 +766,12 @@ def test_tokens_of_odd_texts():
     for _ in range(400):
         text = "".join(rng.choice(odd) for _ in range(rng.randint(0, 60))) + rng.choice(["", "<|endoftext|>x", "'s it'll"])
         assert encode([text.encode()])[0] == np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_near_duplicates_do_not_depend_on_batches(spark, docs, monkeypatch):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    want = sorted(map(tuple, neardup.find(docs).collect()), key=str)
+    monkeypatch.setattr("flowgrid.llm.common.BATCH_BYTES", 256)
+    assert sorted(map(tuple, neardup.find(docs).collect()), key=str) == want
+    assert spark.conf.get(setting) == before
