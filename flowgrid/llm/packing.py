@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Bytes of strings and ids that a Python worker keeps at once, and what an entry takes beside them.
+#: Bytes of strings and ids in each of a Python worker's two generations, and what an entry takes beside them.
 CACHE_BYTES, ENTRY_BYTES = 64 << 20, 200
 
 
@@ -73,36 +73,43 @@ def word_encoder(tokenizer_path: str) -> Callable[[list[bytes]], list[bytes]]:
     level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     as_bytes = {k: level.pre_tokenize_str(chr(k))[0][0] for k in range(0x21, 0x250) if not chr(k).isspace()}
     tokenize = tokenizer.model.tokenize
-    strings: dict[bytes, bytes] = {}
+
+    class Strings(dict):
+        def __missing__(self, w: bytes) -> bytes:
+            return learn(w)
+
+    # Two generations: at the bound the younger becomes the older, and what is asked for again moves on from there.
+    strings, old_strings, kept = Strings(), Strings(), 0
     pieces: dict[str, bytes] = {}
-    kept = 0
+    old_pieces: dict[str, bytes] = {}
 
-    def learn(new: list[bytes]) -> None:
+    def learn(w: bytes) -> bytes:
         nonlocal kept
-        for w in new:
+        ids = old_strings.get(w)
+        if ids is None:
             s = w.decode()
             if not usual(s) or special and special(s):
-                strings[w] = as_ids(plain([s])[0])
-                continue
-            ids = b""
-            for x in parts_of((s if s.isascii() else unicodedata.normalize("NFC", s)).lower()):
-                got = pieces.get(x)
-                if got is None:
-                    got = pieces[x] = as_ids([t.id for t in tokenize(x if x.isascii() else x.translate(as_bytes))])
-                    kept += len(x) + len(got) + ENTRY_BYTES
-                ids += got
-            strings[w] = ids
-            kept += len(w) + len(ids) + ENTRY_BYTES
+                ids = as_ids(plain([s])[0])
+            else:
+                ids = b""
+                for x in parts_of((s if s.isascii() else unicodedata.normalize("NFC", s)).lower()):
+                    got = pieces.get(x)
+                    if got is None:
+                        got = old_pieces.get(x)
+                        if got is None:
+                            got = as_ids([t.id for t in tokenize(x if x.isascii() else x.translate(as_bytes))])
+                        pieces[x] = got
+                        kept += len(x) + len(got) + ENTRY_BYTES
+                    ids += got
+        strings[w] = ids
+        kept += len(w) + len(ids) + ENTRY_BYTES
+        return ids
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        nonlocal kept
-        words = [t.split() for t in texts]  # bytes: at ASCII white space alone
-        every = {w for ws in words for w in ws}
+        nonlocal kept, strings, pieces, old_strings, old_pieces
         if kept > CACHE_BYTES:
-            strings.clear(), pieces.clear()
-            kept = 0
-        learn([w for w in every if w not in strings])
-        return [b"".join(map(strings.__getitem__, ws)) for ws in words]
+            old_strings, old_pieces, strings, pieces, kept = strings, pieces, Strings(), {}, 0
+        return [b"".join(map(strings.__getitem__, t.split())) for t in texts]  # bytes: at ASCII white space alone
 
     return encode
 
