@@ -55,16 +55,17 @@ def closeness(distance: Column, weight: float) -> Column:
 
 
 def _terms(col, w: Mapping[str, float]) -> dict[str, Column]:
-    """Terms by weight; null is neutral, and a flag counts only if it is true."""
+    """Terms by weight, in the order of their sum; null is neutral, and a flag counts only if it is true."""
     over = lambda c, floor: F.greatest(F.lit(0.0), col(c) - floor)
     flag = lambda c: F.when(col(c), 1.0)
     per_weight = {
         "train_reach_per_min_under25": F.greatest(F.lit(0.0), 25 - col("train_reach_min")),
         "trains_to_bcn_per_30": col("trains_to_bcn_nearest") / 30,
+        **{f"{k}_reward": closeness(col(f"{k}_min_m"), 1.0) for k in ("climb", "yoga", "green", "hospital")},
         "sea_within_3km_bonus": F.when(col("sea_min_m") < 3000, 1.0),
         "tree_cover_pct": col("tree_cover_pct"),
         "natura2000_within_5km": flag("natura2000_within_5km"),
-        "biodiversity_obs_log": F.log1p(col("biodiversity_obs_density")),
+        "biodiversity_obs_log": F.ln(1 + col("biodiversity_obs_density")),
         "no2_above_who_per_ugm3": over("no2_ugm3", 20),
         "pm25_above_who_per_ugm3": over("pm25_ugm3", 5),
         "uhi_per_degree": over("uhi_delta_c", 0),
@@ -72,20 +73,16 @@ def _terms(col, w: Mapping[str, float]) -> dict[str, Column]:
         "industry_density": col("industry_density_per_km2"),
         "eprtr_inverse_dist": 1 / F.when(col("eprtr_facility_min_m") > 0, col("eprtr_facility_min_m")),
         "motorway_within_500m": flag("motorway_within_500m"),
-        "pharmacy_density_log": F.log1p(col("pharmacy_density_per_km2")),
+        "pharmacy_density_log": F.ln(1 + col("pharmacy_density_per_km2")),
         **{k: col(k) for k in ("mitma_through_ratio", "geodemo_diversity", "intra_zone_share", "weekend_hotspot_score", "leisure_share", "night_share")},
     }
     # greatest() skips nulls, so the terms with a floor need the feature itself to be there.
     needs = {"train_reach_per_min_under25": "train_reach_min", "no2_above_who_per_ugm3": "no2_ugm3", "pm25_above_who_per_ugm3": "pm25_ugm3", "uhi_per_degree": "uhi_delta_c"}
-    out = {k: F.coalesce(F.when(col(needs[k]).isNotNull(), x) if k in needs else x, F.lit(0.0)) * float(w.get(k, 0)) for k, x in per_weight.items()}
-    for k in ("climb", "yoga", "green", "hospital"):
-        d = col(f"{k}_min_m")
-        out[f"{k}_reward"] = F.when(d.isNotNull(), closeness(d, float(w.get(f"{k}_reward", 0)))).otherwise(0.0)
-    return out
+    return {k: F.coalesce(F.when(col(needs[k]).isNotNull(), x) if k in needs else x, F.lit(0.0)) * float(w.get(k, 0)) for k, x in per_weight.items()}
 
 
 def score(frame: DataFrame, weights: Mapping[str, float]) -> Column:
-    """The sum of all terms with a weight, within 0 and 100."""
+    """The sum of all terms with a weight, within 0 and 100. Its order is fixed: another one ends in other last bits."""
     col = lambda c: F.col(c) if c in frame.columns else F.lit(None).cast(FEATURES[c])
     total = F.lit(float(weights.get("base_offset", 50.0)))
     for key, term in _terms(col, weights).items():

@@ -57,6 +57,19 @@ def test_against_sql(spark, duck, name):
     assert got == sorted(plain(r[i] for i in order) for r in sql.fetchall()) and got
 
 
+@pytest.mark.parametrize("name, keys", [("score_colours", [388500, 566250])])
+def test_scores_at_a_step(spark, tmp_path, name, keys):
+    """Cells whose colour or rounded score lies at a step, where the last bit decides."""
+    from flowgrid.plans import exports
+
+    con = duckdb.connect()
+    con.sql(f"create table customer as select unnest({keys})::bigint as c_custkey, 'BUILDING' as c_mktsegment, 1.0::double as c_acctbal")
+    con.sql(f"copy customer to '{tmp_path}/customer.parquet' (format parquet)")
+    got = exports.QUERIES[name](spark, str(tmp_path))
+    want = con.sql(exports.ORACLES[name])
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
 def test_cube_is_scanned_once(spark):
     """Flows in and out, rhythm, weekends and typology read the line items once."""
     for name in ("inflow_outflow", "inflow_outflow_mean", "centroid_totals", "hourly_rhythm", "weekend_hotspots_gated", "typology_indices", "daily_rollup"):
