@@ -120,8 +120,9 @@ def near_protected(points: DataFrame, areas: DataFrame, land: DataFrame, within:
 
 
 def story_cells(frame: DataFrame, key: str = "cell", places: int = 1) -> DataFrame:
-    """Each cell's score under every preset."""
-    return frame.select(key, *[F.round(score.score(frame, score.load_weights(p)), places).alias(f"score_{p}") for p in score.PRESETS])
+    """Each cell's score under every preset, rounded as SQL does: the product with the power of ten is, not the decimal digits."""
+    rounded = lambda s: F.round(s * 10.0**places) / 10.0**places
+    return frame.select(key, *[rounded(score.score(frame, score.load_weights(p))).alias(f"score_{p}") for p in score.PRESETS])
 
 
 def story_statistics(frame: DataFrame, places: int = 2) -> DataFrame:

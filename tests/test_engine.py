@@ -57,7 +57,7 @@ def test_against_sql(spark, duck, name):
     assert got == sorted(plain(r[i] for i in order) for r in sql.fetchall()) and got
 
 
-@pytest.mark.parametrize("name, keys", [("score_colours", [388500, 566250])])
+@pytest.mark.parametrize("name, keys", [("score_colours", [388500, 566250]), ("story_cells", [4500, 4650, 5550])])
 def test_scores_at_a_step(spark, tmp_path, name, keys):
     """Cells whose colour or rounded score lies at a step, where the last bit decides."""
     from flowgrid.plans import exports
