@@ -52,10 +52,58 @@ def nearest_attribute(left: DataFrame, right: DataFrame, cap: float, value: str,
     return left.join(best, key, "left").select(*left.columns, F.col("n.r_id").alias("nearest_id"), F.col(f"n.{value}").alias(value), F.col("n.distance").alias("distance"))
 
 
+#: Tiles are halved so often at most.
+HALVINGS = 20
+
+
+def _levels(size: float, last: int, x: str = "x", y: str = "y") -> Column:
+    """array<struct<level, tx, ty>>: a point's tiles of the size, half of it, and so on."""
+    at = lambda level: geo.tile_key(F.col(x), F.col(y), size / 2**level)
+    return F.array(*[F.struct(F.lit(n).alias("level"), at(n)[0].alias("tx"), at(n)[1].alias("ty")) for n in range(last + 1)])
+
+
 def k_nearest(left: DataFrame, right: DataFrame, cap: float, k: int, *, key: str = "id") -> DataFrame:
-    """The k nearest points within the cap, ranked (ties: the least id)."""
+    """The k nearest points within the cap, ranked (ties: the least id).
+
+    Each tile of the left is searched at the smallest size at which it and the eight around it hold k
+    points: all k nearest then lie within the farthest corner of those nine, which is less than three
+    tiles away.  Where no size does, the cap is the tile.  One pass over the right finds the sizes.
+    """
+    finite = lambda c: F.abs(c) < float("inf")
+    # Of the points at one place only the k least can be among the nearest.
+    place = F.row_number().over(W.partitionBy("x", "y").orderBy("r_id"))
+    sites = right.select(F.col("id").alias("r_id"), "x", "y").where(finite(F.col("x")) & finite(F.col("y"))).withColumn("n", place).where(F.col("n") <= k).drop("n")
+    fullest = sites.select(F.inline(_levels(cap, HALVINGS))).groupBy("level", "tx", "ty").count().groupBy("level").agg(F.max("count").alias("n"))
+    last = min([r.level + 1 for r in fullest.collect() if r.n <= k], default=HALVINGS)  # a row for each level
+
+    tiled = sites.withColumnsRenamed({"x": "rx", "y": "ry"}).select("r_id", "rx", "ry", F.inline(_levels(cap, last, "rx", "ry")))
+    near = lambda ring: F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in range(-ring, ring + 1) for j in range(-ring, ring + 1)])
+    shifted = lambda name: (F.col("tx") + F.col(f"{name}.dx"), F.col("ty") + F.col(f"{name}.dy"))
+    counts = tiled.where("level > 0").groupBy("level", "tx", "ty").agg(F.count("*").alias("n")).withColumn("at", F.explode(near(1)))
+    ux, uy = shifted("at")
+    full = counts.select("level", ux.alias("tx"), uy.alias("ty"), "n").groupBy("level", "tx", "ty").agg(F.sum("n").alias("n")).where(F.col("n") >= k).drop("n")
+
+    fx, fy = geo.tile_key(F.col("x"), F.col("y"), cap / 2**last)
+    points = left.select(key, "x", "y").withColumns({"fx": fx, "fy": fy})
+    # Sizes are halves of each other, so that a small tile's larger ones are shifts of its numbers.
+    above = [F.expr(f"shiftright({c}, {last} - level)").alias(t) for c, t in (("fx", "tx"), ("fy", "ty"))]
+    own = points.select("fx", "fy").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(last)))).select("fx", "fy", "level", *above)
+    chosen = own.join(full.withColumn("full", F.lit(True)), ["level", "tx", "ty"], "left").where("full OR level = 0").groupBy("fx", "fy").agg(F.max("level").alias("level")).select("fx", "fy", "level", *above)
+
+    ring = F.when(F.col("level") == 0, near(1)).when(F.col("level") == 1, near(2)).otherwise(near(3))
+    asked = chosen.select("level", "tx", "ty").distinct().withColumn("at", F.explode(ring))
+    ux, uy = shifted("at")
+    asked = asked.select("level", F.col("tx").alias("ox"), F.col("ty").alias("oy"), ux.alias("tx"), uy.alias("ty"))
+    faced = asked.join(tiled, ["level", "tx", "ty"]).select("level", F.col("ox").alias("tx"), F.col("oy").alias("ty"), "r_id", "rx", "ry")
+
+    size = F.lit(cap) / F.pow(F.lit(2.0), "level")
+    corner = lambda c, t: size + F.greatest(F.col(c) - F.col(t) * size, (F.col(t) + 1) * size - F.col(c))
+    reach = F.when(F.col("level") == 0, F.lit(cap)).otherwise(F.least(F.lit(cap), geo.distance(corner("x", "tx"), corner("y", "ty"), F.lit(0.0), F.lit(0.0)) * (1 + 1e-9)))
+    placed = points.join(chosen, ["fx", "fy"]).withColumn("reach", reach).select(key, "x", "y", "level", "tx", "ty", "reach")
+    # Few bytes make many pairs: both are shuffled, as a small side's file would else be one task or be sent to all.
+    pairs = placed.hint("merge").join(faced, ["level", "tx", "ty"]).withColumn("distance", geo.distance(F.col("x"), F.col("y"), F.col("rx"), F.col("ry")))
     rank = F.row_number().over(W.partitionBy(key).orderBy("distance", "r_id"))
-    return pairs_within(left, right, cap, key=key).withColumn("rank", rank).where(F.col("rank") <= k)
+    return pairs.where(F.col("distance") <= F.col("reach")).select(key, "r_id", "distance").withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def count_within(left: DataFrame, right: DataFrame, radius: float, name: str = "n", *, key: str = "id") -> DataFrame:

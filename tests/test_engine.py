@@ -4,6 +4,7 @@ import datetime
 import json
 import math
 import random
+import threading
 import zipfile
 
 import duckdb
@@ -410,6 +411,32 @@ def test_density_clusters_and_hulls(spark):
     assert {(p.x, p.y) for p in hull} == {(0, 0), (4, 0), (4, 4), (0, 4)}
 
 
+def crowds(n: int, seed: int) -> list[tuple[int, float, float]]:
+    """Points on whole metres: a tight crowd, copies of one place, a loose field across the origin and two far off."""
+    rng = random.Random(seed)
+    at = lambda i: (rng.randint(50, 60), rng.randint(-60, -50)) if i % 3 == 0 else (7, 7) if i % 3 == 1 else (rng.randint(-400, 400), rng.randint(-400, 400))
+    return [(i, *map(float, at(i))) for i in range(n)] + [(n, 5000.0, 5000.0), (n + 1, 5000.0, 5100.0)]
+
+
+def test_k_nearest_in_crowds(spark):
+    left, right = crowds(120, 1), crowds(200, 2)
+    frames = [spark.createDataFrame(p, "id long, x double, y double") for p in (left, right)]
+    for cap, k in ((100.0, 3), (1000.0, 1), (1000.0, 5), (1.0, 3)):
+        want = sorted((i, j, d, n) for i, x, y in left for n, (d, j) in enumerate(sorted((math.sqrt((x - u) ** 2 + (y - v) ** 2), j) for j, u, v in right)[:k], 1) if d <= cap)
+        assert sorted(map(tuple, spatial.k_nearest(*frames, cap, k).collect())) == want
+    assert spatial.k_nearest(frames[0], frames[1].where("false"), 100.0, 3).count() == 0
+
+
+def test_k_nearest_of_many_in_a_tile(spark):
+    """3.6e9 pairs lie within the cap: comparing them all is stopped."""
+    square = spark.range(60_000).selectExpr("id", "cast(id * 7919 % 60000 as double) as x", "cast(id * 10473 % 60000 as double) as y")
+    stop = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    got = spatial.k_nearest(square, square, 90_000.0, 3).agg(F.count("*"), F.count_if(F.expr("rank = 1 and id = r_id and distance = 0"))).first()
+    stop.cancel()
+    assert tuple(got) == (180_000, 60_000)
+
+
 def test_streaming_totals(spark, tmp_path):
     from flowgrid.streaming.rollup import windowed_totals
 
