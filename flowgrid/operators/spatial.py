@@ -8,6 +8,7 @@ shuffled like any other.  Coordinates are metres (x, y).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -284,29 +285,87 @@ def raster_delta(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.withColumnRenamed("value", "other"), ["x", "y"]).select("x", "y", (F.col("value") - F.col("other")).alias("value"))
 
 
+def _least_reachable(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, label): the least id that links (id, other; in both directions) reach from each id. Labels spread until they rest."""
+    labels = nodes.select("id", F.col("id").alias("label"))
+    while True:
+        spread = links.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id").agg(F.min("label").alias("beside"))
+        least = labels.join(spread, "id", "left").select("id", F.col("label").alias("before"), F.least("label", "beside").alias("least"))
+        # A label's own label is followed as well, so that chains shorten by half each round.
+        hop = labels.select(F.col("id").alias("least"), F.col("label").alias("further"))
+        after = least.join(hop, "least").select("id", "before", F.least("least", "further").alias("label")).checkpoint()
+        labels = after.select("id", "label")
+        if after.where("label <> before").isEmpty():
+            return labels
+
+
 def cluster_points(points: DataFrame, radius: float, least: int) -> DataFrame:
     """Density clusters (DBSCAN): (id, cluster), the cluster being its least core id; noise has null.
 
     Core points have at least so many points (themselves included) within the radius; a point that isn't
-    core joins the cluster of its least core neighbour.  Labels spread along core links until they rest.
+    core joins the cluster of its least core neighbour.  All points of a tile lie within the radius of each
+    other, so that a tile of so many points is core as a whole, and core points of one tile are in one
+    cluster.  Only points of other tiles are compared with their neighbours, and two tiles' core points only
+    where neither their outermost points nor other tiles link them.
     """
     ensure_checkpoint_dir(points.sparkSession)
-    near = pairs_within(points, points, radius).select("id", "r_id").checkpoint()
-    core = near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("id").checkpoint()
-    both = near.join(core, "id").join(core.withColumnRenamed("id", "r_id"), "r_id")
-    links = both.select("id", "r_id").checkpoint()
-    labels = core.withColumn("label", F.col("id"))
-    while True:
-        spread = links.join(labels.select(F.col("id").alias("r_id"), F.col("label").alias("other")), "r_id").groupBy("id").agg(F.min("other").alias("least"))
-        # A label's own label is followed as well, so that chains shorten by half each round.
-        hop = labels.select(F.col("id").alias("least"), F.col("label").alias("further"))
-        after = spread.join(hop, "least", "left").select("id", F.least("least", F.coalesce("further", "least")).alias("label")).checkpoint()
-        moved = not after.join(labels.select("id", F.col("label").alias("before")), "id").where("label <> before").isEmpty()
-        labels = after
-        if not moved:
-            break
-    border = near.join(labels.select(F.col("id").alias("r_id"), F.col("label").alias("beside")), "r_id").groupBy("id").agg(F.min("beside").alias("beside"))
-    out = points.select("id").join(labels, "id", "left").join(border, "id", "left")
+    size = radius / math.sqrt(2) * (1 - 1e-9)
+    finite = lambda c: F.abs(c) < float("inf")
+    apart = lambda a, b: geo.distance(F.col(f"{a}.x"), F.col(f"{a}.y"), F.col(f"{b}.x"), F.col(f"{b}.y"))
+    offsets = [(i, j) for i in range(-2, 3) for j in range(-2, 3)]
+    shifts = lambda pairs: F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i, j in pairs]))
+
+    def shifted(frame: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
+        moved = frame.withColumn("to", shifts(pairs))
+        return moved.withColumns({"tx": F.col("tx") + F.col("to.dx"), "ty": F.col("ty") + F.col("to.dy")}).drop("to")
+
+    tiled = _tiled(points.select("id", "x", "y"), size)
+    sites = tiled.where(finite(F.col("x")) & finite(F.col("y"))).groupBy("tx", "ty", "x", "y").agg(F.min("id").alias("id"), F.count("*").alias("n")).checkpoint()
+    tiles = sites.groupBy("tx", "ty").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
+    dense = tiles.where(F.col("n") >= least).select("tx", "ty")
+    # Tiles with fewer points: each of their points meets all points of the 25 tiles around it.
+    loose = sites.join(tiles.where(F.col("n") < least).select("tx", "ty"), ["tx", "ty"], "left_semi")
+    point = F.struct("x", "y")
+    asking = lambda frame: shifted(frame.select("tx", "ty", "id", point.alias("p")), offsets)
+    facing = lambda frame, value: frame.select("tx", "ty", point.alias("q"), value)
+    counted = asking(loose).join(facing(sites, "n"), ["tx", "ty"]).where(apart("p", "q") <= radius).groupBy("id").agg(F.sum("n").alias("n"))
+    alone = counted.where(F.col("n") >= least).select("id").checkpoint()
+    core = sites.join(dense, ["tx", "ty"], "left_semi").unionByName(loose.join(alone, "id", "left_semi").select(*sites.columns)).drop("n").checkpoint()
+
+    # A tile with core points goes by the least of them; its outermost points stand for it first.
+    turns = [F.col("x"), F.col("y"), F.col("x") + F.col("y"), F.col("x") - F.col("y")]
+    ends = F.array(*[f(point, t) for t in turns for f in (F.min_by, F.max_by)])
+    box = F.struct(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    nodes = core.groupBy("tx", "ty").agg(F.min("id").alias("id"), ends.alias("ends"), box.alias("box")).checkpoint()
+    named = lambda a: nodes.select("tx", "ty", F.struct("id", "tx", "ty", "ends", "box").alias(a))
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"a.box.{c}0") - F.col(f"b.box.{c}1"), F.col(f"b.box.{c}0") - F.col(f"a.box.{c}1"))
+    met = F.exists("a.ends", lambda p: F.exists("b.ends", lambda q: geo.distance(p["x"], p["y"], q["x"], q["y"]) <= radius))
+    beside = shifted(named("a"), [o for o in offsets if o > (0, 0)]).join(named("b"), ["tx", "ty"]).select("a", "b")
+    beside = beside.where(F.sqrt(gap("x") * gap("x") + gap("y") * gap("y")) <= radius).withColumn("met", met).checkpoint()
+    both = lambda pairs: pairs.select("id", "other").unionByName(pairs.select(F.col("other").alias("id"), F.col("id").alias("other")))
+    labels = _least_reachable(nodes, both(beside.where("met").select(F.col("a.id").alias("id"), F.col("b.id").alias("other"))).checkpoint())
+
+    # Pairs of tiles that are still apart: their core points are compared, as far as they are near the other's box.
+    of = lambda a: labels.select(F.col("id").alias(f"{a}_id"), F.col("label").alias(a))
+    flat = beside.where("NOT met").select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("id", "tx", "ty", "box")])
+    open_pairs = flat.join(of("a"), "a_id").join(of("b"), "b_id").where("a <> b")
+    outside = lambda c, s: F.greatest(F.lit(0.0), F.col(f"{s}_box.{c}0") - F.col(c), F.col(c) - F.col(f"{s}_box.{c}1"))
+    near_box = lambda s: F.sqrt(outside("x", s) * outside("x", s) + outside("y", s) * outside("y", s)) <= radius
+    members = lambda s: core.select(F.col("tx").alias(f"{s}_tx"), F.col("ty").alias(f"{s}_ty"), "x", "y")
+    sided = lambda s, t, name: open_pairs.join(members(s), [f"{s}_tx", f"{s}_ty"]).where(near_box(t)).select("a_id", "b_id", "a", "b", point.alias(name))
+    touching = sided("a", "b", "p").join(sided("b", "a", "q").drop("a", "b"), ["a_id", "b_id"]).where(apart("p", "q") <= radius)
+    more = touching.select(F.col("a").alias("id"), F.col("b").alias("other")).distinct().checkpoint()
+    if not more.isEmpty():
+        whole = _least_reachable(labels.select(F.col("label").alias("id")).distinct(), both(more).checkpoint())
+        labels = labels.join(whole.withColumnsRenamed({"id": "label", "label": "cluster"}), "label").select("id", F.col("cluster").alias("label")).checkpoint()
+    of_tile = nodes.select("tx", "ty", "id").join(labels, "id").select("tx", "ty", "label")
+
+    fringe = loose.join(alone, "id", "left_anti")
+    shore = core.join(of_tile, ["tx", "ty"])
+    border = asking(fringe).join(facing(shore, "label"), ["tx", "ty"]).where(apart("p", "q") <= radius).groupBy("p").agg(F.min("label").alias("beside"))
+    inside = loose.join(alone, "id", "left_semi").join(of_tile, ["tx", "ty"]).select("x", "y", F.col("label").alias("beside"))
+    single = inside.unionByName(border.select("p.x", "p.y", "beside"))
+    out = tiled.join(of_tile.join(dense, ["tx", "ty"], "left_semi"), ["tx", "ty"], "left").join(single, ["x", "y"], "left")
     return out.select("id", F.coalesce("label", "beside").alias("cluster"))
 
 

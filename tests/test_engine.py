@@ -437,6 +437,33 @@ def test_k_nearest_of_many_in_a_tile(spark):
     assert tuple(got) == (180_000, 60_000)
 
 
+def test_density_clusters_as_defined(spark):
+    """Crowds, copies, noise, and tiles that only a pair of inner points links, against the definition."""
+    pts, r = crowds(150, 3) + [(900 + i, 1000.0 + 40 * i, 9.0 * (i % 2)) for i in range(12)], 41.0
+    beside = {i: [j for j, u, v in pts if math.sqrt((x - u) ** 2 + (y - v) ** 2) <= r] for i, x, y in pts}
+    for least in (1, 2, 5):
+        core, want = {i for i in beside if len(beside[i]) >= least}, {}
+        for i in sorted(core):
+            reached = [i] if i not in want else []
+            while reached:
+                j = reached.pop()
+                if j not in want:
+                    want[j] = i
+                    reached += [n for n in beside[j] if n in core]
+        want |= {i: min((want[j] for j in beside[i] if j in core), default=None) for i in beside if i not in core}
+        assert dict(map(tuple, spatial.cluster_points(spark.createDataFrame(pts, "id long, x double, y double"), r, least).collect())) == want
+
+
+def test_density_clusters_of_many_in_reach(spark):
+    """Two crowds of 50,000 within one radius each, farther apart than that: comparing all 5e9 pairs is stopped."""
+    crowds = spark.range(100_000).selectExpr("id", "cast(id * 7919 % 30000 + id % 2 * 90000 as double) as x", "cast(id * 10473 % 30000 as double) as y")
+    stop = threading.Timer(120, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    got = spatial.cluster_points(crowds, 45_000.0, 4).groupBy("cluster").count().collect()
+    stop.cancel()
+    assert sorted(map(tuple, got)) == [(0, 50_000), (1, 50_000)]
+
+
 def test_streaming_totals(spark, tmp_path):
     from flowgrid.streaming.rollup import windowed_totals
 
