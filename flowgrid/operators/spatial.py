@@ -319,8 +319,10 @@ def cluster_points(points: DataFrame, radius: float, least: int) -> DataFrame:
         moved = frame.withColumn("to", shifts(pairs))
         return moved.withColumns({"tx": F.col("tx") + F.col("to.dx"), "ty": F.col("ty") + F.col("to.dy")}).drop("to")
 
-    tiled = _tiled(points.select("id", "x", "y"), size)
-    sites = tiled.where(finite(F.col("x")) & finite(F.col("y"))).groupBy("tx", "ty", "x", "y").agg(F.min("id").alias("id"), F.count("*").alias("n")).checkpoint()
+    # NaN's tile would be that of 0: a point without a place has no tile, and is noise.
+    placed = finite(F.col("x")) & finite(F.col("y"))
+    tiled = _tiled(points.select("id", "x", "y"), size).withColumns({t: F.when(placed, F.col(t)) for t in ("tx", "ty")})
+    sites = tiled.where(placed).groupBy("tx", "ty", "x", "y").agg(F.min("id").alias("id"), F.count("*").alias("n")).checkpoint()
     tiles = sites.groupBy("tx", "ty").agg(F.sum("n").alias("n"), F.min("id").alias("id"))
     dense = tiles.where(F.col("n") >= least).select("tx", "ty")
     # Tiles with fewer points: each of their points meets all points of the 25 tiles around it.

@@ -454,6 +454,14 @@ def test_density_clusters_as_defined(spark):
         assert dict(map(tuple, spatial.cluster_points(spark.createDataFrame(pts, "id long, x double, y double"), r, least).collect())) == want
 
 
+def test_density_clusters_without_a_place(spark):
+    """Points with a coordinate that is null, NaN or infinite are noise, though NaN's tile is that of the origin's crowd."""
+    nan, inf = math.nan, math.inf
+    pts = [(i, 1.0 + i, 1.0 + i) for i in range(5)] + [(10, nan, nan), (11, nan, 2.0), (12, 1.0, nan), (13, inf, 1.0), (14, 1.0, -inf), (15, None, 1.0), (16, None, None)]
+    got = spatial.cluster_points(spark.createDataFrame(pts, "id long, x double, y double"), 20.0, 4).collect()
+    assert dict(map(tuple, got)) == {i: 0 if i < 5 else None for i, _, _ in pts}
+
+
 def test_density_clusters_of_many_in_reach(spark):
     """Two crowds of 50,000 within one radius each, farther apart than that: comparing all 5e9 pairs is stopped."""
     crowds = spark.range(100_000).selectExpr("id", "cast(id * 7919 % 30000 + id % 2 * 90000 as double) as x", "cast(id * 10473 % 30000 as double) as y")
